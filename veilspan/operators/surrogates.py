@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan import lists
@@ -313,6 +313,10 @@ def parts_of(ctx: Context, key: Column) -> Column:
     )
 
 
+def _parts(key: Column, ctx: Context) -> Column:
+    return parts_of(ctx, key)
+
+
 def with_parents(originals: DataFrame, ctx: Context) -> DataFrame:
     """Add the domains behind e-mail addresses and the registrable parent of every domain, counted 0."""
     def context_rows(rows: DataFrame, value: Column) -> DataFrame:
@@ -415,6 +419,17 @@ def _claim_tokens(rest: DataFrame, candidate, taken: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- assignment
+_built: dict[tuple, Column] = {}
+
+
+def _session_cached(build, key: Column, ctx: Context, *args) -> Column:
+    """Build a large expression once per session and key, not once per table."""
+    known = (build.__name__, id(SparkSession.active()._jsparkSession), str(key), repr(ctx), args)
+    if known not in _built:
+        _built[known] = build(key, ctx, *args)
+    return _built[known]
+
+
 def assign(originals: DataFrame, state: State, project: str, key: Column, ctx: Context | None = None,
            blocked: DataFrame | None = None) -> State:
     """The state with surrogates for all ``originals`` (schema ``ORIGINAL``) and their usage counted.
@@ -431,7 +446,7 @@ def assign(originals: DataFrame, state: State, project: str, key: Column, ctx: C
     fixed = F.nullif(F.col("replacement"), F.lit(""))
     one_word = ~F.contains(fixed, F.lit(" ")) & ~F.contains(F.col("original"), F.lit(" "))
     prepared = cut(new.withColumn("_fixed", F.when(one_word, tx.transfer_case(F.col("original"), fixed)).otherwise(fixed))
-                   .withColumn("parts", F.when(F.col("_fixed").isNull(), parts_of(ctx, key))))
+                   .withColumn("parts", F.when(F.col("_fixed").isNull(), _session_cached(_parts, key, ctx))))
 
     # words of the compositions, and the words they get
     pieces = prepared.where(F.col("parts").isNotNull()).select("type", "original", F.posexplode("parts").alias("pos", "p")).select(
@@ -460,15 +475,16 @@ def assign(originals: DataFrame, state: State, project: str, key: Column, ctx: C
         "type", "original", F.array_join(F.transform("l", lambda x: x["_t"]), "").alias("_composed"))
 
     candidates = prepared.join(composed, ["type", "original"], "left").withColumn("_base", F.coalesce("_fixed", "_composed"))
-    can_change = F.col("_fixed").isNotNull() | (F.col("_composed").isNotNull()) | F.regexp_like("original", F.lit("[A-Za-z0-9]"))
-    pending = cut(candidates.where(can_change).where(F.col("_base").isNull() | (F.col("_base") != F.col("original"))).where(
-        F.col("_base").isNotNull() | number_surrogate(key, ctx, 0).isNotNull()))
+    number = _session_cached(number_surrogate, key, ctx, 0)
+    pending = cut(candidates.withColumn("_first", F.when(F.col("_base").isNull(), number)))
+    pending = pending.where(F.regexp_like("original", F.lit("[A-Za-z0-9]")) | F.col("_base").isNotNull()).where(
+        F.coalesce("_base", "_first").isNotNull() & (F.col("_base").isNull() | (F.col("_base") != F.col("original"))))
 
     taken = mappings.select("surrogate")
 
     def candidate(n: int) -> Column:
         tail = F.substring(tx.keyed_hash(key, F.col("type"), F.col("original")), 1, min(4 + 4 * max(n - ATTEMPTS, 0), 32))
-        number = number_surrogate(key, ctx, min(n, ATTEMPTS - 1))
+        number = F.col("_first") if n == 0 else _session_cached(number_surrogate, key, ctx, min(n, ATTEMPTS - 1))
         number = F.when(number != F.col("original"), number) if n < ATTEMPTS else F.concat(number, F.lit("-"), tail)
         based = F.col("_base") if n == 0 else F.concat("_base", F.lit("-"), F.substring(
             tx.keyed_hash(key, F.col("type"), F.col("original")), 1, min(4 * n, 32)))
