@@ -16,7 +16,6 @@ from veilspan.lists import Context
 from veilspan.operators import words as wd
 from veilspan.operators.detect import domain_allowed, explode_spans, find_spans
 from veilspan.operators.detectors import network
-from veilspan.operators.detectors.names import NAME_EDGES
 from veilspan.operators.spans import apply_spans, outside, resolve
 from veilspan.operators.surrogates import ORIGINAL, assign, number_placeholders
 from veilspan.schema import CASE_INSENSITIVE_TYPES, FINDING, FINDINGS, IP_TYPES
@@ -137,12 +136,11 @@ def _learned_by_project(docs: DataFrame, state: State, project: str, doc_id: str
     terms = names.groupBy("token").agg(F.min("map").alias("kind")).select(
         F.col("token").alias("term"), F.lit(True).alias("ci"), F.create_map(F.lit("kind"), F.col("kind")).alias("payload"))
     found = wd.with_occurrences(docs, terms, "_occ", doc_id, text)
-    compound = f"(?:^|[^{tx.LETTER}])"
 
     def alone(o: Column) -> Column:
         before = F.substring(F.col(text), F.greatest(o["start"] - 1, F.lit(1)), F.least(o["start"], F.lit(2)))
         after = F.substring(F.col(text), o["end"] + 1, F.lit(2))
-        return ((o["text"] != F.lower(o["text"])) & ~F.regexp_like(before, F.lit(f"[{tx.LETTER}]-$"))
+        return ((o["text"] != F.lower(o["text"])) & ~F.regexp_like(before, F.lit(rf"[{tx.LETTER}]-\z"))
                 & ~F.regexp_like(after, F.lit(f"^-[{tx.LETTER}]")))
 
     spans = F.transform(F.filter("_occ", alone), lambda o: finding(

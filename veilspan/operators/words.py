@@ -83,7 +83,7 @@ def _verified(text: Column, candidates: Column) -> Column:
         same = (p["text"] == p["term"]) | (p["ci"] & (F.lower(p["text"]) == F.lower(p["term"])))
         before = F.when(p["start"] > 0, F.substring(text, F.greatest(p["start"] - 2, F.lit(0)) + 1,
                                                     F.least(p["start"], F.lit(2)))).otherwise("")
-        left = ~F.regexp_like(before, F.lit(f"[{WORD_CHAR}]$")) | F.regexp_like(before, F.lit(r"\\[nrt]$"))
+        left = ~F.regexp_like(before, F.lit(rf"[{WORD_CHAR}]\z")) | F.regexp_like(before, F.lit(r"\\[nrt]\z"))
         right = ~F.regexp_like(F.substring(text, p["end"] + 1, F.lit(1)), F.lit(f"[{WORD_CHAR}]"))
         return (p["start"] >= 0) & same & left & right
 
