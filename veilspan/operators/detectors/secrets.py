@@ -365,7 +365,7 @@ def hex_strings(text: Column, ctx: Context) -> Column:
                  guard=F.regexp_like(text, F.lit("[0-9A-Fa-f]{32}")))
     return findings(found, "SECRET", "hex-strings", 66,
                     keep=lambda h: ~F.regexp_like(h["before"], F.lit(before))
-                    & ~F.regexp_like(h["after"], F.lit(r"^[ \t]{1,2}\*?[\w./-]*[A-Za-z]"))
+                    & ~F.regexp_like(h["after"], F.lit(r"^(?:  | \*)[\w./-]"))
                     & ~F.regexp_like(h["text"], F.lit(r"^(.)\1*$")))
 
 
