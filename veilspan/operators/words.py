@@ -18,8 +18,8 @@ OCCURRENCE = "struct<start:int,end:int,text:string,term:string,payload:map<strin
 
 
 def segments(text: Column) -> Column:
-    """ARRAY<STRUCT<start, text>>: pieces of about 4,000 characters that never cut a word."""
-    pattern = F.lit(rf"(?s).{{0,4095}}[^{WORD_CHAR}]|[{WORD_CHAR}]++")
+    """ARRAY<STRUCT<start, text>>: pieces of about 500 characters that never cut a word."""
+    pattern = F.lit(rf"(?s).{{0,511}}[^{WORD_CHAR}]|[{WORD_CHAR}]++")
     zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -34,11 +34,15 @@ def words(text: Column, escapes: bool = False) -> Column:
     """ARRAY<STRUCT<start, word>> of all words. With ``escapes`` a word behind a backslash that starts
     with n, r or t also counts without that letter (``\\nHost`` in escaped text)."""
     def in_segment(s: Column) -> Column:
-        found = F.transform(hits(s["text"], f"[{WORD_CHAR}]+", before=1), lambda h: F.struct(
-            (s["start"] + h["start"]).cast("int").alias("start"), h["text"].alias("word"), h["before"].alias("b")))
-        plain = F.transform(found, lambda h: F.struct(h["start"], h["word"]))
+        located = hits(s["text"], f"[{WORD_CHAR}]+", before=1 if escapes else 0)
         if not escapes:
-            return plain
+            return F.transform(located, lambda h: F.struct(
+                (s["start"] + h["start"]).cast("int").alias("start"), h["text"].alias("word")))
+        return let(F.transform(located, lambda h: F.struct(
+            (s["start"] + h["start"]).cast("int").alias("start"), h["text"].alias("word"), h["before"].alias("b"))), with_escapes)
+
+    def with_escapes(found: Column) -> Column:
+        plain = F.transform(found, lambda h: F.struct(h["start"], h["word"]))
         behind = F.filter(found, lambda h: (h["b"] == "\\") & F.regexp_like(h["word"], F.lit("^[nrt].")))
         return F.concat(plain, F.transform(behind, lambda h: F.struct(
             (h["start"] + 1).cast("int").alias("start"), F.substring(h["word"], F.lit(2), F.length(h["word"])).alias("word"))))
@@ -47,14 +51,16 @@ def words(text: Column, escapes: bool = False) -> Column:
 
 
 def explode_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", escapes: bool = False) -> DataFrame:
-    """(doc_id, start, word), without the text."""
-    return docs.select(doc_id, F.inline(words(F.col(text), escapes)))
+    """(doc_id, start, word), without the text. (An outer generator is evaluated once; for the others
+    Catalyst adds tests of the array below them, which evaluate it again.)"""
+    return docs.select(doc_id, F.inline_outer(words(F.col(text), escapes))).where(F.col("start").isNotNull())
 
 
 def context_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """Distinct lower-case words of three and more letters: values a surrogate must not take."""
-    pieces = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-zà-ɏ]{3,}"), F.lit(0))).alias("surrogate"))
-    return pieces.distinct()
+    pieces = docs.select(F.explode_outer(F.array_distinct(F.regexp_extract_all(
+        F.lower(F.col(text)), F.lit("[a-zà-ɏ]{3,}"), F.lit(0)))).alias("surrogate"))
+    return pieces.where(F.col("surrogate").isNotNull()).distinct()
 
 
 def prepare_terms(terms: DataFrame) -> DataFrame:

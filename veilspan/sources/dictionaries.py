@@ -11,8 +11,8 @@ from veilspan.functions import text as tx
 
 def word_counts(corpus: DataFrame, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, word, n); counted per partition before the shuffle."""
-    token = F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-zà-ɏß]{2,}"), F.lit(0))).alias("word")
-    return corpus.select(F.col(lang).alias("lang"), token).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    token = F.explode_outer(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-zà-ɏß]{2,}"), F.lit(0))).alias("word")
+    return corpus.select(F.col(lang).alias("lang"), token).where(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.count("*").alias("n"))
 
 
 def build_dictionary(corpus: DataFrame, top_n: int = 120_000, lang: str = "lang", text: str = "text", buckets: int = 64) -> DataFrame:
