@@ -284,18 +284,20 @@ def ip_class(text: Column) -> Column:
         let(v4_to_long(text), lambda n: _v4_class(n)["label"]))
 
 
-def _convert(text: Column, key: Column, inverse: bool, keep_special: bool) -> Column:
+def _convert(text: Column, key: Column, inverse: bool, keep_special: bool, versions=(4, 6)) -> Column:
+    if 6 not in versions:
+        return let(_v4(v4_to_long(text), key, inverse, keep_special), lambda n: F.when(n.isNotNull(), long_to_v4(n)))
     v4 = let(_v4(v4_to_long(text), key, inverse, keep_special), lambda n: F.when(n.isNotNull(), long_to_v4(n)))
     v6 = hex_to_v6(_v6(v6_to_hex(text), key, inverse, keep_special))
     return F.when(F.contains(text, F.lit(":")), v6).otherwise(v4)
 
 
-def map_ip(text: Column, key: Column, keep_special: bool = True) -> Column:
-    return _convert(text, key, False, keep_special)
+def map_ip(text: Column, key: Column, keep_special: bool = True, versions=(4, 6)) -> Column:
+    return _convert(text, key, False, keep_special, versions)
 
 
-def unmap_ip(text: Column, key: Column, keep_special: bool = True) -> Column:
-    return _convert(text, key, True, keep_special)
+def unmap_ip(text: Column, key: Column, keep_special: bool = True, versions=(4, 6)) -> Column:
+    return _convert(text, key, True, keep_special, versions)
 
 
 def address_hex(text: Column) -> Column:

@@ -27,6 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition small rows with costly expressions over all cores. The explicit number keeps
+    adaptive execution from packing them into few tasks because they are few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def at_most(df: DataFrame, n: int) -> bool:
     """Does the table have at most ``n`` rows? Reads no more than it needs."""
     return df.limit(n + 1).count() <= n

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 from veilspan.functions import ip
 from veilspan.functions import text as tx
 from veilspan.functions.regex import empty, finding, hits, let
-from veilspan.functions.tables import BROADCAST_ROWS, cut, lookup, union_all
+from veilspan.functions.tables import cut, lookup, spread
 from veilspan.functions.url import MAX_UNWRAP, clean_url
 from veilspan.lists import Context
 from veilspan.operators import words as wd
 from veilspan.operators.detect import domain_allowed, explode_spans, find_spans
 from veilspan.operators.detectors import network
 from veilspan.operators.spans import apply_spans, outside, resolve
-from veilspan.operators.surrogates import ORIGINAL, assign, number_placeholders
+from veilspan.operators.surrogates import _session_cached, assign, number_placeholders
 from veilspan.schema import CASE_INSENSITIVE_TYPES, FINDING, FINDINGS, IP_TYPES
 from veilspan.sources.state import State
 
@@ -305,22 +305,30 @@ def _reverted_ips(docs: DataFrame, state: State, project: str, key: str, ctx: Co
         "lo", ip.network_bounds(address, F.col("bits"))["lo"])
     inside = keyed.join(nets.withColumn("_in", F.lit(True)), ["version", "bits", "lo"], "left").groupBy("lit").agg(
         F.first("_exact").alias("_exact"), F.max(F.coalesce("_in", F.lit(False))).alias("_in"))
-    prefix = F.nullif(F.regexp_extract("lit", r"/(\d+)$", 1), F.lit(""))
-
-    def invert(m: Column) -> Column:
-        net = F.concat(let(ip.network_bounds(m, prefix), lambda b: ip.hex_to_address(b["lo"], ip.version_of(m))), F.lit("/"), prefix)
-        is_net = ip.network_bounds(address, prefix)["lo"] == ip.address_hex(address)
-        out = F.when(prefix.isNull(), m).when(is_net, net).otherwise(F.concat(m, F.lit("/"), prefix))
-        return F.when(address != F.lower(address), F.upper(out)).otherwise(out)
-
-    original = F.coalesce("_exact", F.when(F.col("_in"), let(ip.unmap_ip(address, F.lit(key), ctx.keep_special_hosts), invert)))
-    solved = inside.withColumn("_orig", original).where("_orig is not null and _orig <> lit").select("lit", "_orig")
+    original = _session_cached(_original_address, F.lit(key), ctx)
+    solved = spread(inside, "lit").withColumn("_orig", original).where("_orig is not null and _orig <> lit").select("lit", "_orig")
     spans = lookup(found, solved, ["lit"], F.struct(doc_id, "start"), "inner")
     typ = F.when(F.contains("lit", F.lit(":")), "IPV6").otherwise("IPV4")
     return spans.groupBy(doc_id).agg(F.collect_list(finding(
         F.col("start"), F.col("lit"), typ, "revert", 30, F.create_map(F.lit("rep"), F.col("_orig")))).alias("_ips"))
 
 
+def _original_address(key: Column, ctx: Context) -> Column:
+    """Original of the address or network in column ``lit`` (columns ``_exact``, ``_in``)."""
+    def build(v: Column) -> Column:
+        def invert(m: Column) -> Column:
+            net = F.concat(let(ip.network_bounds(m, v["p"]), lambda b: ip.hex_to_address(b["lo"], ip.version_of(m))), F.lit("/"), v["p"])
+            is_net = ip.network_bounds(v["a"], v["p"])["lo"] == ip.address_hex(v["a"])
+            out = F.when(v["p"].isNull(), m).when(is_net, net).otherwise(F.concat(m, F.lit("/"), v["p"]))
+            return F.when(v["a"] != F.lower(v["a"]), F.upper(out)).otherwise(out)
+
+        return let(ip.unmap_ip(v["a"], key, ctx.keep_special_hosts), invert)
+
+    parts = F.struct(F.substring_index("lit", "/", 1).alias("a"),
+                     F.nullif(F.regexp_extract("lit", r"/(\d+)$", 1), F.lit("")).alias("p"))
+    return F.coalesce("_exact", F.when(F.col("_in"), let(parts, build)))
+
+
 def revert_spans(docs: DataFrame, state: State, project: str, key: str, ctx: Context | None = None, doc_id: str = "doc_id",
                  text: str = "text", inline_limit: int = wd.INLINE_TERMS) -> DataFrame:
     """``docs`` plus ``spans``: what can be translated back, longest first, with the original in ``meta``."""

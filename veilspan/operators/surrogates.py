@@ -21,7 +21,7 @@ from veilspan import lists
 from veilspan.functions import ip
 from veilspan.functions import text as tx
 from veilspan.functions.regex import empty, let, one_of
-from veilspan.functions.tables import claim, cut, lookup, union_all
+from veilspan.functions.tables import claim, cut, lookup, spread, union_all
 from veilspan.lists import Context
 from veilspan.operators.detect import domain_allowed, ip_allowed
 from veilspan.schema import IP_TYPES
@@ -117,12 +117,12 @@ def sid_surrogate(text: Column, key: Column, attempt: int = 0) -> Column:
         text, r"^S-1-5-21-\d+-\d+-\d+(-\d+)?$", 1)))
 
 
-def ip_surrogate(text: Column, key: Column, ctx: Context) -> Column:
+def ip_surrogate(text: Column, key: Column, ctx: Context, versions=(4, 6)) -> Column:
     """Address, network (``net/24``) or host in a network (``10.1.2.3/24``); IPv6 keeps upper case."""
     def build(v: Column) -> Column:
         bounds = ip.network_bounds(v["a"], v["p"])
         is_net = let(bounds, lambda b: b["lo"] == ip.address_hex(v["a"]))
-        mapped = ip.map_ip(v["a"], key, ctx.keep_special_hosts)
+        mapped = ip.map_ip(v["a"], key, ctx.keep_special_hosts, versions)
 
         def finish(m: Column) -> Column:
             net = let(ip.network_bounds(m, v["p"]), lambda b: ip.hex_to_address(b["lo"], ip.version_of(m)))
@@ -136,21 +136,31 @@ def ip_surrogate(text: Column, key: Column, ctx: Context) -> Column:
     return F.when(~ip_allowed(text, ctx), changed)
 
 
-def number_surrogate(key: Column, ctx: Context, attempt: int) -> Column:
-    """Surrogate for every type that is no composition of words (columns ``type``, ``original`` …)."""
+def number_surrogate(key: Column, ctx: Context, attempt: int, types: tuple) -> Column:
+    """Surrogate for every type that is no composition of words (columns ``type``, ``original`` …). Only
+    the branches of the ``types`` at hand get into the plan."""
     text, typ = F.col("original"), F.coalesce(F.nullif(F.col("as_type"), F.lit("")), F.col("type"))
     seed = tx.keyed_hash(key, F.lit("value"), typ, text, F.lit(attempt))
-    is_hex = F.regexp_like(text, F.lit(r"^[0-9A-Fa-f:\- ]+$"))
-    return (
-        F.when(typ.isin(*IP_TYPES), ip_surrogate(text, key, ctx))
-        .when(typ == "MAC", mac_surrogate(text, seed, ctx.mac_keep_oui))
-        .when(typ == "PHONE", phone_surrogate(text, seed))
-        .when(typ == "IBAN", iban_surrogate(text, seed))
-        .when(typ == "CREDIT_CARD", card_surrogate(text, seed))
-        .when(typ == "SID", sid_surrogate(text, key, attempt))
-        .when(typ.isin(*SECRET_LIKE), tx.randomize_chars(text, seed, F.coalesce(F.col("keep_prefix"), F.lit(0))))
-        .when(typ == "FINGERPRINT", tx.randomize_chars(text, seed, 0, is_hex))
+    versions = tuple(n for t, n in zip(IP_TYPES, (4, 6), strict=True) if t in types)
+    rules = (
+        (IP_TYPES, lambda: ip_surrogate(text, key, ctx, versions)),
+        (("MAC",), lambda: mac_surrogate(text, seed, ctx.mac_keep_oui)),
+        (("PHONE",), lambda: phone_surrogate(text, seed)),
+        (("IBAN",), lambda: iban_surrogate(text, seed)),
+        (("CREDIT_CARD",), lambda: card_surrogate(text, seed)),
+        (("SID",), lambda: sid_surrogate(text, key, attempt)),
+        (SECRET_LIKE, lambda: tx.randomize_chars(text, seed, F.coalesce(F.col("keep_prefix"), F.lit(0)))),
+        (("FINGERPRINT",), lambda: tx.randomize_chars(text, seed, 0, F.regexp_like(text, F.lit(r"^[0-9A-Fa-f:\- ]+$")))),
     )
+    return _choose(typ, [(names, build) for names, build in rules if set(names) & set(types)])
+
+
+def _choose(typ: Column, rules: list) -> Column:
+    out = None
+    for names, build in rules:
+        test = typ.isin(*names)
+        out = F.when(test, build()) if out is None else out.when(test, build())
+    return out
 
 
 # ---------------------------------------------------------------- compositions of words
@@ -295,26 +305,23 @@ def run_parts(text: Column, shortest: int) -> Column:
         F.when(F.regexp_like(r, F.lit(f"^[{tx.LETTER}]{{{shortest},}}")), "words").alias("map"), r.alias("text")).cast(PART))
 
 
-def parts_of(ctx: Context, key: Column) -> Column:
+def parts_of(key: Column, ctx: Context, types: tuple) -> Column:
     """Parts for the word types (columns ``type``, ``original``, ``as_type``, ``kind``), else NULL."""
     text = F.col("original")
     typ = F.coalesce(F.nullif(F.col("as_type"), F.lit("")), F.col("type"))
-    return (
-        F.when(typ == "EMAIL", email_parts(text, ctx, key))
-        .when(typ == "DOMAIN", domain_parts(text, ctx, key))
-        .when(typ == "HOSTNAME", label_parts(text, True, ctx, key))
-        .when(typ == "USERNAME", F.when(~one_of(F.lower(text), lists.SKIP_USERNAMES), local_parts(text, key)))
-        .when(typ == "PERSON", person_parts(text, F.col("kind")))
-        .when(typ == "ORG", org_parts(text, key))
-        .when(typ == "LOCATION", run_parts(text, 3))
-        .when(typ == "IDENTIFIER", run_parts(text, 2))
-        .when(typ == "CUSTOM", F.when(F.regexp_like(text, F.lit("[A-Za-z]")), run_parts(text, 2)).otherwise(
-            _plain(tx.digits_like(text, tx.keyed_hash(key, F.lit("custom"), text)))))
+    rules = (
+        ("EMAIL", lambda: email_parts(text, ctx, key)),
+        ("DOMAIN", lambda: domain_parts(text, ctx, key)),
+        ("HOSTNAME", lambda: label_parts(text, True, ctx, key)),
+        ("USERNAME", lambda: F.when(~one_of(F.lower(text), lists.SKIP_USERNAMES), local_parts(text, key))),
+        ("PERSON", lambda: person_parts(text, F.col("kind"))),
+        ("ORG", lambda: org_parts(text, key)),
+        ("LOCATION", lambda: run_parts(text, 3)),
+        ("IDENTIFIER", lambda: run_parts(text, 2)),
+        ("CUSTOM", lambda: F.when(F.regexp_like(text, F.lit("[A-Za-z]")), run_parts(text, 2)).otherwise(
+            _plain(tx.digits_like(text, tx.keyed_hash(key, F.lit("custom"), text))))),
     )
-
-
-def _parts(key: Column, ctx: Context) -> Column:
-    return parts_of(ctx, key)
+    return _choose(typ, [((name,), build) for name, build in rules if name in types])
 
 
 def with_parents(originals: DataFrame, ctx: Context) -> DataFrame:
@@ -422,6 +429,10 @@ def _claim_tokens(rest: DataFrame, candidate, taken: DataFrame) -> DataFrame:
 _built: dict[tuple, Column] = {}
 
 
+def _when_built(test: Column, value: Column | None, ddl: str) -> Column:
+    return F.lit(None).cast(ddl) if value is None else F.when(test, value)
+
+
 def _session_cached(build, key: Column, ctx: Context, *args) -> Column:
     """Build a large expression once per session and key, not once per table."""
     known = (build.__name__, id(SparkSession.active()._jsparkSession), str(key), repr(ctx), args)
@@ -443,10 +454,13 @@ def assign(originals: DataFrame, state: State, project: str, key: Column, ctx: C
     usage = cut(with_parents(originals, ctx))
     new = usage.join(mappings.select("type", "original"), ["type", "original"], "left_anti")
 
+    # the types at hand (a handful) decide which branches are built
+    types = tuple(sorted({t for r in new.select("type", "as_type").distinct().collect() for t in r if t}))
+
     fixed = F.nullif(F.col("replacement"), F.lit(""))
     one_word = ~F.contains(fixed, F.lit(" ")) & ~F.contains(F.col("original"), F.lit(" "))
-    prepared = cut(new.withColumn("_fixed", F.when(one_word, tx.transfer_case(F.col("original"), fixed)).otherwise(fixed))
-                   .withColumn("parts", F.when(F.col("_fixed").isNull(), _session_cached(_parts, key, ctx))))
+    prepared = cut(spread(new, "original").withColumn("_fixed", F.when(one_word, tx.transfer_case(F.col("original"), fixed)).otherwise(fixed))
+                   .withColumn("parts", _when_built(F.col("_fixed").isNull(), _session_cached(parts_of, key, ctx, types), PARTS)))
 
     # words of the compositions, and the words they get
     pieces = prepared.where(F.col("parts").isNotNull()).select("type", "original", F.posexplode("parts").alias("pos", "p")).select(
@@ -475,8 +489,8 @@ def assign(originals: DataFrame, state: State, project: str, key: Column, ctx: C
         "type", "original", F.array_join(F.transform("l", lambda x: x["_t"]), "").alias("_composed"))
 
     candidates = prepared.join(composed, ["type", "original"], "left").withColumn("_base", F.coalesce("_fixed", "_composed"))
-    number = _session_cached(number_surrogate, key, ctx, 0)
-    pending = cut(candidates.withColumn("_first", F.when(F.col("_base").isNull(), number)))
+    number = _session_cached(number_surrogate, key, ctx, 0, types)
+    pending = cut(spread(candidates, "original").withColumn("_first", _when_built(F.col("_base").isNull(), number, "string")))
     pending = pending.where(F.regexp_like("original", F.lit("[A-Za-z0-9]")) | F.col("_base").isNotNull()).where(
         F.coalesce("_base", "_first").isNotNull() & (F.col("_base").isNull() | (F.col("_base") != F.col("original"))))
 
@@ -484,7 +498,8 @@ def assign(originals: DataFrame, state: State, project: str, key: Column, ctx: C
 
     def candidate(n: int) -> Column:
         tail = F.substring(tx.keyed_hash(key, F.col("type"), F.col("original")), 1, min(4 + 4 * max(n - ATTEMPTS, 0), 32))
-        number = F.col("_first") if n == 0 else _session_cached(number_surrogate, key, ctx, min(n, ATTEMPTS - 1))
+        number = F.col("_first") if n == 0 else _session_cached(number_surrogate, key, ctx, min(n, ATTEMPTS - 1), types)
+        number = F.lit(None).cast("string") if number is None else number
         number = F.when(number != F.col("original"), number) if n < ATTEMPTS else F.concat(number, F.lit("-"), tail)
         based = F.col("_base") if n == 0 else F.concat("_base", F.lit("-"), F.substring(
             tx.keyed_hash(key, F.col("type"), F.col("original")), 1, min(4 * n, 32)))

@@ -278,7 +278,7 @@ _BLOCKS = "|".join(hm.BLOCK_TAGS)
 @query("html_visible_text", rf"""
 with h as (select page_id, {_HIDE} as m from pages),
 t as (select page_id, regexp_replace(regexp_replace(m, '(?i)</?\s*(?:{_BLOCKS})(?:[\s/][^<>]*)?>', chr(10), 'g'), '(?s)<![^>]*>|</?[A-Za-z][^<>]*>', '', 'g') as v from h)
-select page_id, replace(replace(replace(replace(replace(v, '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as text from t""")
+select page_id, replace(replace(replace(replace(replace(replace(v, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') as text from t""")
 def html_visible_text(spark, sf):
     return table(spark, sf, "pages").select("page_id", hm.visible_text(F.col("html")).alias("text"))
 

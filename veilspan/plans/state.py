@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import ip
 from veilspan.functions import text as tx
-from veilspan.functions.tables import cut
+from veilspan.functions.tables import cut, spread
 from veilspan.lists import Context
 from veilspan.operators import boxes as bx
 from veilspan.operators import modes, report
@@ -74,7 +74,7 @@ def pseudonymized_texts(spark, sf):
 
 
 @query("mapping_usage", FOUND + """
-select type, text as original, count(*) as count from found where not (type = 'IPV4' and (cast(split_part(text, '.', 1) as integer) >= 240 or cast(split_part(text, '.', 1) as integer) in (0, 127))) group by all""")
+select type, text as original, count(*) as count from found where not (type = 'IPV4' and (try_cast(split_part(text, '.', 1) as integer) >= 240 or try_cast(split_part(text, '.', 1) as integer) in (0, 127))) group by all""")
 def mapping_usage(spark, sf):
     _out, state = _pseudonymized(spark, sf)
     return state.mappings.where("count > 0").select("type", "original", "count")
@@ -82,7 +82,7 @@ def mapping_usage(spark, sf):
 
 @query("mapping_properties", FOUND + """
 select type, count(distinct text) as originals, count(distinct text) as surrogates, cast(0 as bigint) as unchanged, cast(0 as bigint) as other_length from found
- where not (type = 'IPV4' and (cast(split_part(text, '.', 1) as integer) >= 240 or cast(split_part(text, '.', 1) as integer) in (0, 127))) group by type""")
+ where not (type = 'IPV4' and (try_cast(split_part(text, '.', 1) as integer) >= 240 or try_cast(split_part(text, '.', 1) as integer) in (0, 127))) group by type""")
 def mapping_properties(spark, sf):
     """Unique, changed, and of the same length where the format asks for it."""
     _out, state = _pseudonymized(spark, sf)
@@ -195,7 +195,7 @@ def ip_map_properties(spark, sf):
     """Bijective, class kept, hosts of one network stay together."""
     key = F.lit(KEY)
     rows = table(spark, sf, "events").select("user_id", "event_id", F.expr("'10.' || cast(user_id % 200 as string) || '.' || cast(event_id % 250 as string) || '.' || cast(event_id % 13 + 7 as string)").alias("a"))
-    mapped = rows.select("a").distinct().withColumn("m", ip.map_ip(F.col("a"), key)).withColumn("u", ip.unmap_ip(F.col("m"), key)).withColumn(
+    mapped = spread(rows.select("a").distinct(), "a").withColumn("m", ip.map_ip(F.col("a"), key)).withColumn("u", ip.unmap_ip(F.col("m"), key)).withColumn(
         "c", ip.ip_class(F.col("a")) == ip.ip_class(F.col("m"))).withColumn("net", F.substring_index("a", ".", 3))
     nets = mapped.groupBy("net").agg((F.countDistinct(F.substring_index("m", ".", 3)) == 1).alias("same_net"))
     checked = cut(mapped.join(nets, "net").select("a", (F.col("u") == F.col("a")).alias("back"), F.col("c").alias("same_class"), "same_net"))
@@ -205,8 +205,8 @@ def ip_map_properties(spark, sf):
 @query("ipv6_map_properties", "select event_id, true as back, true as same_class from events")
 def ipv6_map_properties(spark, sf):
     key = F.lit(KEY)
-    rows = table(spark, sf, "events").select("event_id", F.expr("'2a02:8100:' || lower(hex(user_id)) || '::' || lower(hex(event_id + 300))").alias("a"))
-    mapped = rows.withColumn("m", ip.map_ip(F.col("a"), key))
+    rows = table(spark, sf, "events").select("event_id", F.expr("'2a02:8100:' || lower(hex(user_id + 1)) || '::' || lower(hex(event_id + 300))").alias("a"))
+    mapped = spread(rows, "a").withColumn("m", ip.map_ip(F.col("a"), key))
     return mapped.select("event_id", (ip.unmap_ip(F.col("m"), key) == F.col("a")).alias("back"),
                          (ip.ip_class(F.col("a")) == ip.ip_class(F.col("m"))).alias("same_class"))
 
@@ -216,7 +216,7 @@ select c_custkey, true as iban, true as card, true as phone, true as mac, true a
 def number_surrogates(spark, sf):
     """Formats stay valid: check digits, country, layout, vendor part, account number, prefix."""
     seed = tx.keyed_hash(F.lit(KEY), F.col("c_name"))
-    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.expr(IBAN).alias("iban"), F.expr("'4' || lpad(cast(c_custkey as string), 14, '7')").alias("body"))
+    rows = spread(table(spark, sf, "customer"), "c_custkey").select("c_custkey", "c_name", F.expr(IBAN).alias("iban"), F.expr("'4' || lpad(cast(c_custkey as string), 14, '7')").alias("body"))
     rows = rows.withColumn("card", F.concat("body", tx.luhn_digit(F.col("body")))).withColumn("phone", F.expr("'+49 (0)30 ' || lpad(cast(c_custkey as string), 7, '4')")).withColumn(
         "mac", F.expr("'02:AA:BB:0C:1D:' || upper(lpad(hex(c_custkey % 256), 2, '0'))")).withColumn("sid", F.expr("'S-1-5-21-1-2-' || cast(c_custkey as string) || '-1001'")).withColumn(
         "secret", F.expr("'gl' || 'pat-' || md5(c_name)"))
@@ -324,6 +324,7 @@ def box_document_text(spark, sf):
 # ---------------------------------------------------------------- streams
 def _stream(spark, rows: DataFrame, name: str) -> DataFrame:
     """The rows as a file stream in the folder for checkpoints (a stand-in for a topic)."""
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     folder = f"{root}/{name}-{uuid.uuid4().hex}"
     rows.write.mode("overwrite").parquet(folder)
@@ -372,7 +373,8 @@ select time_bucket(interval '1 hour', ts) as window_start, event_type as type, c
 def stream_counts(spark, sf):
     """The windowed counts as a stream over files, run until all rows are taken."""
     stream = _stream(spark, _events(spark, sf), "events")
-    return _finished(spark, st.windowed_counts(stream, "1 hour"), "stream_counts", "complete").select("window_start", "type", "n")
+    return _finished(spark, st.windowed_counts(stream, "1 hour"), "stream_counts", "complete").select(
+        F.col("window_start").cast("timestamp_ntz").alias("window_start"), "type", "n")
 
 
 _WATCH = """case event_id % 6 when 0 then 'see https://example.com/?utm_source=a and 10.0.0.7' when 1 then 'mail eva.lindt@zeta-test.de' when 2 then 'gl' || 'pat-' || substr(md5(props), 1, 20)
