@@ -33,6 +33,13 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def fill_cores(df: DataFrame) -> DataFrame:
+    """Texts from fewer splits than there are cores (a small file with one row group) are dealt out;
+    a table with more splits than cores stays as it is, so large inputs are never shuffled here."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores * 2)
+
+
 def at_most(df: DataFrame, n: int) -> bool:
     """Does the table have at most ``n`` rows? Reads no more than it needs."""
     return df.limit(n + 1).count() <= n
