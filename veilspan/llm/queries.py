@@ -9,8 +9,23 @@ from veilspan.llm.common import table
 from veilspan.llm.exact_dedup import exact_dedup
 from veilspan.llm.mixing import copies_per_row, plan_copies
 from veilspan.llm.sharding import positions
+from veilspan.llm.token_counts import count_tokens
+from veilspan.llm.token_files import token_ids
 
 SHARDS = 40
+END_ID = 1
+CONTEXT_TOKENS = 4096
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer lies; jobs of one's own pass a path to the operators instead."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), END_ID)
 
 
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +40,12 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens",
+                          (F.col("n_tokens") > CONTEXT_TOKENS).alias("over_limit"))
+
+
 def op10_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -36,7 +57,9 @@ g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d
 select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, d.text_sha256 from d join g using (text_sha256)"""
 
 QUERIES = {
+    "op1_token_files": (op1_token_files, None),
     "op4_pivotal_mix": (op4_pivotal_mix, None),
     "op6_virtual_slots": (op6_virtual_slots, None),
+    "op7_token_counts": (op7_token_counts, None),
     "op10_cuckoo_dedup": (op10_cuckoo_dedup, OP10_SQL),
 }
