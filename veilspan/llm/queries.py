@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.llm.common import table
 from veilspan.llm.exact_dedup import exact_dedup
 from veilspan.llm.mixing import copies_per_row, plan_copies
+from veilspan.llm.near_dedup import near_groups
 from veilspan.llm.sharding import positions
 from veilspan.llm.token_counts import count_tokens
 from veilspan.llm.token_files import token_ids
@@ -34,6 +35,11 @@ def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op5_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=3, bits=2).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = positions(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -59,6 +65,7 @@ select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, d.text_s
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op4_pivotal_mix": (op4_pivotal_mix, None),
+    "op5_simhash_vptree": (op5_simhash_vptree, None),
     "op6_virtual_slots": (op6_virtual_slots, None),
     "op7_token_counts": (op7_token_counts, None),
     "op10_cuckoo_dedup": (op10_cuckoo_dedup, OP10_SQL),
