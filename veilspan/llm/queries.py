@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm.common import table
+from veilspan.llm.decontaminate import contaminated
 from veilspan.llm.exact_dedup import exact_dedup
 from veilspan.llm.mixing import copies_per_row, plan_copies
 from veilspan.llm.near_dedup import near_groups
@@ -52,6 +53,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                           (F.col("n_tokens") > CONTEXT_TOKENS).alias("over_limit"))
 
 
+def op8_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -68,5 +73,6 @@ QUERIES = {
     "op5_simhash_vptree": (op5_simhash_vptree, None),
     "op6_virtual_slots": (op6_virtual_slots, None),
     "op7_token_counts": (op7_token_counts, None),
+    "op8_edit_decontamination": (op8_edit_decontamination, None),
     "op10_cuckoo_dedup": (op10_cuckoo_dedup, OP10_SQL),
 }
