@@ -189,11 +189,27 @@ def fingerprint_links(prints: DataFrame, bits: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
-    """Per row of docs: doc_id, fp, component_id (the smallest doc_id of its group)."""
+    """Per row of docs: doc_id, fp, component_id (the smallest doc_id of its group), root (its smallest fp)."""
     prints = stored(docs.select("doc_id", simhash(words)(F.col("text")).alias("fp")), "fingerprints")
     least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     roots = components(fingerprint_links(least.select("fp"), bits)).select(F.col("node").alias("fp"), "root")
     rooted = stored(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
     groups = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    of = rooted.select("fp", "root").join(groups, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = rooted.select("fp", "root").join(groups, "root").select("fp", "root", "component_id")
+    return prints.join(of, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def near_dedup(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
+    """docs with one row of each group: that of the smallest id. Ids of one row are kept by a semi join;
+    rows whose id is null or repeated are told apart by their fingerprint, only if there are any."""
+    rows = stored(near_groups(docs, words, bits), "near-groups")
+    kept = stored(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")).select(
+        "root", F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp")), "near-kept")
+    odd = stored(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_odd")), "near-odd")
+    out = docs.join(kept.join(odd, F.col("_id") == F.col("_odd"), "left_anti"), F.col("doc_id") == F.col("_id"), "left_semi")
+    if not odd.isEmpty():
+        repeated = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").withColumn("_print", simhash(words)(F.col("text")))
+        one = repeated.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_fp"))).groupBy("root").agg(
+            F.first(F.struct(*docs.columns)).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm.common import table
@@ -10,6 +10,7 @@ from veilspan.llm.decontaminate import contaminated
 from veilspan.llm.exact_dedup import exact_dedup
 from veilspan.llm.mixing import copies_per_row, plan_copies
 from veilspan.llm.near_dedup import near_groups
+from veilspan.llm.quality import document_statistics, fit, scores
 from veilspan.llm.sharding import positions
 from veilspan.llm.token_counts import count_tokens
 from veilspan.llm.token_files import token_ids
@@ -17,6 +18,12 @@ from veilspan.llm.token_files import token_ids
 SHARDS = 40
 END_ID = 1
 CONTEXT_TOKENS = 4096
+GOOD = 0.7
+
+
+def held_out() -> Column:
+    """Rows whose labels are kept away from training: their score can be measured."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
 def tokenizer_path(name: str) -> str:
@@ -30,6 +37,13 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), END_ID)
 
 
+def op2_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = document_statistics(table(spark, sf_dir, "documents"))
+    labels = table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    return stats.select("doc_id", held_out().alias("held_out"), scores(fit(stats, labels)).alias("score")).withColumn(
+        "predicted", (F.col("score") >= GOOD).cast("int"))
+
+
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_copies(table(spark, sf_dir, "documents"))
     return copies_per_row(plan).select(
@@ -69,6 +83,7 @@ select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, d.text_s
 
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
+    "op2_fourier_quality": (op2_fourier_quality, None),
     "op4_pivotal_mix": (op4_pivotal_mix, None),
     "op5_simhash_vptree": (op5_simhash_vptree, None),
     "op6_virtual_slots": (op6_virtual_slots, None),
