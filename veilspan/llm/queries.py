@@ -12,6 +12,7 @@ from veilspan.llm.mixing import copies_per_row, plan_copies
 from veilspan.llm.near_dedup import near_groups
 from veilspan.llm.quality import document_statistics, fit, scores
 from veilspan.llm.sharding import positions
+from veilspan.llm.substring_dedup import substring_dedup
 from veilspan.llm.token_counts import count_tokens
 from veilspan.llm.token_files import token_ids
 
@@ -71,6 +72,10 @@ def op8_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op10_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -89,5 +94,6 @@ QUERIES = {
     "op6_virtual_slots": (op6_virtual_slots, None),
     "op7_token_counts": (op7_token_counts, None),
     "op8_edit_decontamination": (op8_edit_decontamination, None),
+    "op9_super_kmers": (op9_super_kmers, None),
     "op10_cuckoo_dedup": (op10_cuckoo_dedup, OP10_SQL),
 }
