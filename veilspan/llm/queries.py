@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.llm.common import table
 from veilspan.llm.decontaminate import contaminated
 from veilspan.llm.exact_dedup import exact_dedup
+from veilspan.llm.line_dedup import line_dedup
 from veilspan.llm.mixing import copies_per_row, plan_copies
 from veilspan.llm.near_dedup import near_groups
 from veilspan.llm.quality import document_statistics, fit, scores
@@ -45,6 +46,11 @@ def op2_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= GOOD).cast("int"))
 
 
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.octet_length("text").cast("bigint").alias("kept_bytes"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_copies(table(spark, sf_dir, "documents"))
     return copies_per_row(plan).select(
@@ -89,6 +95,7 @@ select d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id as kept, d.text_s
 QUERIES = {
     "op1_token_files": (op1_token_files, None),
     "op2_fourier_quality": (op2_fourier_quality, None),
+    "op3_fuzzy_lines": (op3_fuzzy_lines, None),
     "op4_pivotal_mix": (op4_pivotal_mix, None),
     "op5_simhash_vptree": (op5_simhash_vptree, None),
     "op6_virtual_slots": (op6_virtual_slots, None),
