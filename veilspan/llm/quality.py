@@ -3,9 +3,9 @@
 A document is described by statistics of its whole text. Random Fourier features approximate a
 Gaussian kernel over the standardised statistics; ridge regression on them is solved from the normal
 equations, which are sums over documents: each partition sums its own, and the sums are added in a
-tree. A part of the labelled documents is kept for calibration: their raw scores are counted on a
-fixed grid and made monotone (pool adjacent violators), so a score is the share of good documents
-among those alike.
+tree. The sums are kept by fold, so each fold gets raw scores from weights that have not seen it. These
+are counted on a fixed grid and made monotone (pool adjacent violators): a score is the share of good
+documents among those alike.
 
 All labelled documents are used; nothing is sampled. Only the texts are inputs of a score.
 
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from veilspan.llm.common import stored, text_slices
 
 #: Random features, width of the kernel (in standard deviations, per square root of a statistic), ridge.
-FEATURES, WIDTH, RIDGE, SEED = 256, 1.5, 1e-3, 97
+FEATURES, WIDTH, RIDGE, SEED = 256, 1.5, 0.1, 97
+FOLDS = 4
 #: Statistics are held to this many standard deviations; raw scores to the grid.
 REACH, GRID_LOW, GRID_HIGH, GRID_STEPS = 6.0, -0.5, 1.5, 2000
 FAN_IN = 32
@@ -124,7 +125,7 @@ def _sums(of_batch):
         for batch in batches:
             if len(batch):
                 part = batch.column("part")[0].as_py()
-                found = of_batch(_matrix(batch.column("stats")), batch.column("label").to_numpy().astype(np.float64))
+                found = of_batch(_matrix(batch.column("stats")), batch.column("label").to_numpy().astype(np.float64), batch.column("fold").to_numpy())
                 total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()])], ["part", "data"])
@@ -153,37 +154,42 @@ def fit(stats: DataFrame, labels: DataFrame) -> Model:
     sums in a tree, and one row per step of the grid come to the driver."""
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     taught = stored(stats.join(known, "doc_id").select(
-        "stats", "label", (F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(4)) == 0).alias("calibrates")), "taught")
+        "stats", "label", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(FOLDS)).cast("int").alias("fold")), "taught")
     taught = taught.withColumn("part", F.spark_partition_id().cast("bigint"))
-    learn = taught.where("not calibrates")
 
-    def total(rows: DataFrame, of_batch) -> np.ndarray | None:
-        return add_up(rows.mapInArrow(_sums(of_batch), "part bigint, data binary"))
+    def total(of_batch) -> np.ndarray | None:
+        return add_up(taught.mapInArrow(_sums(of_batch), "part bigint, data binary"))
 
-    s = total(learn, lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
+    s = total(lambda x, y, fold: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
     nothing = Model(np.zeros(STATISTICS), np.ones(STATISTICS), np.zeros(FEATURES + 1), np.array([0.0]), np.array([0.5]), False)
     if s is None:
         return nothing
     mean = s[1:STATISTICS + 1] / s[0]
     scale = np.sqrt(np.maximum(s[STATISTICS + 1:] / s[0] - mean ** 2, 0)) + 1e-6
-    unfit = Model(mean, scale, nothing.weights, nothing.at, nothing.value)
+    scaled = Model(mean, scale, nothing.weights, nothing.at, nothing.value)
 
-    def normal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        z = unfit.fourier(x)
-        return np.concatenate([(z.T @ z).ravel(), z.T @ y])
+    def normal(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> np.ndarray:
+        z = scaled.fourier(x)
+        return np.concatenate([v for k in range(FOLDS) for own in (fold == k,) for v in ((z[own].T @ z[own]).ravel(), z[own].T @ y[own])])
 
     n = FEATURES + 1
-    sums = total(learn, normal)
-    weights = np.linalg.solve(sums[:n * n].reshape(n, n) + RIDGE * s[0] * np.eye(n) / FEATURES, sums[n * n:])
-    model = Model(mean, scale, weights, nothing.at, nothing.value)
+    ridge = np.diag([RIDGE] * FEATURES + [1e-6])
+    sums = total(normal).reshape(FOLDS, n * n + n)
+
+    def solve(v: np.ndarray) -> np.ndarray:
+        return np.linalg.solve(v[:n * n].reshape(n, n) + ridge, v[n * n:])
+
+    unseen = np.array([solve(sums.sum(0) - fold) for fold in sums])
     step = (GRID_HIGH - GRID_LOW) / GRID_STEPS
-    raw = F.arrow_udf(lambda x: pa.array(model.raw(_matrix(x))), "double")
-    grid = taught.where("calibrates").select("label", raw("stats").alias("raw")).groupBy(F.floor((F.col("raw") - GRID_LOW) / step).alias("bin")).agg(
+
+    def raw_unseen(x: pa.Array, fold: pa.Array) -> pa.Array:
+        return pa.array(np.clip((scaled.fourier(_matrix(x)) * unseen[fold.to_numpy()]).sum(1), GRID_LOW, GRID_HIGH))
+
+    grid = taught.select("label", F.arrow_udf(raw_unseen, "double")("stats", "fold").alias("raw")).groupBy(
+        F.floor((F.col("raw") - GRID_LOW) / step).alias("bin")).agg(
         F.avg("raw").alias("at"), F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).orderBy("bin").collect()
-    if not grid:
-        return Model(mean, scale, weights, np.array([0.0, 1.0]), np.array([0.0, 1.0]))
     at, value = pool(*(np.array([float(r[c]) for r in grid]) for c in ("at", "good", "n")))
-    return Model(mean, scale, weights, at, value)
+    return Model(mean, scale, solve(sums.sum(0)), at, value)
 
 
 def scores(model: Model) -> Column:

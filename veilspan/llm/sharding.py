@@ -79,15 +79,18 @@ class SlotMap:
         return SlotMap(self.shards + 1, self.version + 1, tuple(new))
 
 
+def text_crc32() -> Column:
+    return F.coalesce(F.crc32("text"), F.lit(0)).cast("bigint")
+
+
+def virtual_slot(slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64("doc_id", text_crc32()), F.lit(slots)).cast("int")
+
+
 def with_slot(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """+ size (UTF-8 bytes and what a record costs), text_crc32, virtual_slot."""
-    text = F.col("text")
-    crc = F.coalesce(F.crc32(text), F.lit(0)).cast("bigint")
-    return docs.withColumns({
-        "size": (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("bigint"),
-        "text_crc32": crc,
-        "virtual_slot": F.pmod(F.xxhash64("doc_id", crc), F.lit(slots)).cast("int"),
-    })
+    """(doc_id, size: UTF-8 bytes and what a record costs, text_crc32, virtual_slot)."""
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + RECORD_BYTES).cast("bigint")
+    return docs.select("doc_id", size.alias("size"), text_crc32().alias("text_crc32"), virtual_slot(slots).alias("virtual_slot"))
 
 
 def slot_loads(sized: DataFrame, slots: int = SLOTS) -> tuple[list[int], list[int]]:
@@ -110,18 +113,17 @@ def plan(loads: list[int], shards: int, version: int = 1) -> SlotMap:
 
 
 def shard(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """docs + shard, virtual_slot (clashing columns of docs are replaced), and the map. One
+    """docs + shard, virtual_slot (columns of these names are replaced), and the map. One
     aggregation over two narrow columns; the texts are not shuffled."""
-    sized = with_slot(docs.drop("size", "text_crc32", "virtual_slot", "shard"), slots)
-    slot_map = plan(slot_loads(sized.select("size", "virtual_slot"), slots)[0], shards)
-    return sized.withColumn("shard", slot_map.shard(F.col("virtual_slot"))).drop("size", "text_crc32"), slot_map
+    slot_map = plan(slot_loads(with_slot(docs, slots), slots)[0], shards)
+    return docs.withColumn("virtual_slot", virtual_slot(slots)).withColumn("shard", slot_map.shard(F.col("virtual_slot"))), slot_map
 
 
 def positions(docs: DataFrame, shards: int, slots: int = SLOTS, root: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, virtual_slot): ``slot`` is the place within the shard,
     0 and up without a gap. Rows are only numbered within a virtual slot; where a virtual slot begins
     in its shard follows from the row counts per slot. The map is stored as version 1 in ``root``."""
-    sized = stored(with_slot(docs.select("doc_id", "text"), slots).drop("text"), "sized")
+    sized = stored(with_slot(docs, slots), "sized")
     loads, rows = slot_loads(sized, slots)
     slot_map = plan(loads, shards)
     slot_map.save(docs.sparkSession, root or new_folder(docs.sparkSession, "slot-map"))
