@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import new_folder, stored, text_slices
 
-#: Words whose ids one worker keeps; beyond it the cache starts anew.
-CACHED_WORDS = 400_000
+#: Words, and letters or marks of words, whose ids one worker keeps; beyond it the cache starts anew.
+CACHED_WORDS, CACHED_PARTS = 1_000_000, 500_000
 SLICE_BYTES = 1 << 20
 #: Letters that stay one pre-token and one letter when they are lower-cased, then ASCII punctuation.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
@@ -91,7 +91,7 @@ class WordEncoder:
                 plain.append((word, cut[1].lower(), cut[2]))
             else:
                 rest.append((word, text))
-        if len(self.parts) > CACHED_WORDS:
+        if len(self.parts) > CACHED_PARTS:
             self.parts = {}
         new = list({part for _, *parts in plain for part in parts if part}.difference(self.parts))
         if new:
