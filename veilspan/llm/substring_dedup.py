@@ -318,7 +318,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, dig
     single = waiting.select("doc_id", "tag", "words", "strings").where(F.exists("strings", lambda s: s["hot"])).mapInArrow(
         _unpack(window), "one bigint, two bigint, copies bigint, doc_id bigint, tag int, pos int")
     single = stored(single, "crowded-windows")
-    crowded = single.groupBy("one", "two").agg(F.sum("copies").alias("all")).where("all > 1")
+    # stored, so that the join shuffles both sides and adaptive execution can split a window that many hold
+    crowded = stored(single.groupBy("one", "two").agg(F.sum("copies").alias("all")).where("all > 1"), "repeated-windows")
     one_by_one = single.where("copies = 1").join(crowded, ["one", "two"], "left_semi").select("doc_id", "tag", "pos", F.lit(1).alias("n"))
     found = in_buckets.unionByName(one_by_one).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("pos", "n")).alias("found")).select(
         F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "found")
