@@ -27,13 +27,38 @@ def empty(ddl: str) -> Column:
     return F.array().cast(ddl)
 
 
-def _tail(text: Column, gap: Column, start: Column, n: int) -> Column:
-    near = F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(F.lit(n), start))
-    return F.when(F.length(gap) >= n, F.right(gap, F.lit(n))).otherwise(near)
+def _tail(text: Column, v: Column, i: Column, start: Column, n: int) -> Column:
+    """The ``n`` characters in front of match ``i``: from the gap, else with the match and gap before it;
+    a walk from the start of the text is the last resort."""
+    gap = v["g"][i]
+    local = F.concat(F.when(i > 0, F.concat(v["g"][F.greatest(i - 1, F.lit(0))], v["m"][F.greatest(i - 1, F.lit(0))])).otherwise(""), gap)
+    far = F.substring(text, F.greatest(start - n, F.lit(0)) + 1, F.least(F.lit(n), start))
+    return F.when(F.length(gap) >= n, F.right(gap, F.lit(n))).otherwise(let(local, lambda x: F.when(
+        (F.length(x) >= n) | (i < 2), F.right(x, F.lit(n))).otherwise(far)))
 
 
-def _head(text: Column, gap: Column, end: Column, n: int) -> Column:
-    return F.when(F.length(gap) >= n, F.left(gap, F.lit(n))).otherwise(F.substring(text, end + 1, F.lit(n)))
+def _head(text: Column, v: Column, i: Column, end: Column, n: int) -> Column:
+    """The ``n`` characters behind match ``i``, in the same way."""
+    gap = v["g"][i + 1]
+    local = F.concat(gap, F.coalesce(F.get(v["m"], i + 1), F.lit("")), F.coalesce(F.get(v["g"], i + 2), F.lit("")))
+    return F.when(F.length(gap) >= n, F.left(gap, F.lit(n))).otherwise(let(local, lambda x: F.when(
+        (F.length(x) >= n) | (i + 2 >= F.size(v["m"])), F.left(x, F.lit(n))).otherwise(F.substring(text, end + 1, F.lit(n)))))
+
+
+# An array that grows by one element is copied each time, so long ones are built in blocks of this size.
+BLOCK = 256
+
+
+def in_blocks(n: Column, size_of: Callable[[Column], Column], build: Callable[[Column, Column], Column]) -> Column:
+    """Flattened ``build(indices, before)`` over blocks of 0..n-1 (n > 0); ``before`` is the sum of
+    ``size_of(index)`` over all earlier blocks. The work per element does not grow with ``n``."""
+    def block(b: Column) -> Column:
+        return F.sequence(b * BLOCK, F.least(b * BLOCK + BLOCK, n) - 1)
+
+    numbers = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+    sums = F.transform(numbers, lambda b: F.aggregate(block(b), F.lit(0), lambda a, i: (a + size_of(i)).cast("int")))
+    return let(sums, lambda s: F.flatten(F.transform(numbers, lambda b: build(
+        block(b), F.aggregate(F.slice(s, 1, b), F.lit(0), lambda a, x: a + x)))))
 
 
 def _offsets(text: Column, pattern: Column, before: int, after: int) -> Column:
@@ -45,13 +70,16 @@ def _offsets(text: Column, pattern: Column, before: int, after: int) -> Column:
             hit = F.struct(
                 start.alias("start"),
                 match.alias("text"),
-                (_tail(text, gap, start, before) if before else F.lit("")).alias("before"),
-                (_head(text, v["g"][i + 1], end, after) if after else F.lit("")).alias("after"),
+                (_tail(text, v, i, start, before) if before else F.lit("")).alias("before"),
+                (_head(text, v, i, end, after) if after else F.lit("")).alias("after"),
             )
             return F.struct(end.alias("pos"), F.array_append(acc["out"], hit).alias("out"))
 
-        zero = F.struct(F.lit(0).alias("pos"), empty(f"array<{HIT}>").alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(v["m"]) - 1), zero, step, lambda acc: acc["out"])
+        def of(indices: Column, begin: Column) -> Column:
+            zero = F.struct(begin.alias("pos"), empty(f"array<{HIT}>").alias("out"))
+            return F.aggregate(indices, zero, step, lambda acc: acc["out"])
+
+        return in_blocks(F.size(v["m"]), lambda i: F.length(v["g"][i]) + F.length(v["m"][i]), of)
 
     pair = F.struct(
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("m"),

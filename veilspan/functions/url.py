@@ -9,7 +9,6 @@ from veilspan import lists
 from veilspan.functions.regex import empty, let
 
 URL = r"(?iU)https?://[^\s<>\"'`]+"
-MAX_UNWRAP = 3
 
 
 def trim_url(url: Column) -> Column:
@@ -171,5 +170,7 @@ def clean_url(url: Column, extra_params=()) -> Column:
     def step(acc: Column, _i: Column) -> Column:
         return F.coalesce(unwrap_url(acc), acc)
 
-    plain = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_UNWRAP)), url, step)
+    # every wrapper holds the start of another address, plain or encoded
+    inside = F.regexp_count(url, F.lit("(?i)https?(?::|%|-3a)"))
+    plain = F.aggregate(F.sequence(F.lit(0), inside), url, step)
     return let(plain, lambda u: _clean_once(u, extra_params))

@@ -64,7 +64,7 @@ def raw_spans(text: Column, ctx: Context, enabled=None, skip=()) -> Column:
     """All findings of the chosen detectors, overlapping, in detector order."""
     chosen = registry.selected(enabled, skip)
     found = join_findings(*[_expression(d, text, ctx) for d in chosen]) if chosen else empty(FINDINGS)
-    return F.when(F.length(text) <= ctx.max_chars, found).otherwise(empty(FINDINGS))
+    return found if ctx.max_chars is None else F.when(F.length(text) <= ctx.max_chars, found).otherwise(empty(FINDINGS))
 
 
 def find_spans(docs: DataFrame, detectors=None, skip=(), ctx: Context | None = None, text: str = "text",
@@ -81,7 +81,7 @@ def find_spans(docs: DataFrame, detectors=None, skip=(), ctx: Context | None = N
         found = F.concat(found, F.coalesce(F.col(extra_spans), empty(FINDINGS)))
     warning = F.concat(F.lit("text too large ("), F.length(col).cast("string"), F.lit(" chars), skipped"))
     return docs.withColumn("_raw", found).withColumn("spans", resolve(keep_findings(F.col("_raw"), ctx))).withColumn(
-        "warnings", F.when(F.length(col) > ctx.max_chars, F.array(warning)).otherwise(empty("array<string>"))
+        "warnings", F.when(F.length(col) > (ctx.max_chars or 1 << 31), F.array(warning)).otherwise(empty("array<string>"))
     ).drop("_raw")
 
 

@@ -85,6 +85,8 @@ linkedin looker mailchimp mapbox mattermost messagebird netlify nytimes okta pla
 squarespace sumologic travisci trello twitch twitter typeform yandex zendesk
 """.split())
 JWT = r"eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]*"
+# Java recurses per repetition of a group, so the pieces of one split token need a bound (stack, not meaning).
+MOST_PIECES = 400
 _L, _R = r"(?<![A-Za-z0-9_\-])", r"(?![A-Za-z0-9_\-])"
 
 
@@ -143,10 +145,10 @@ def providers(text: Column, ctx: Context) -> Column:
     """Provider formats: fixed prefixes, keyed values, and rules added through the context."""
     rules = (*PROVIDER_RULES, *[(r.get("prefix", ""), r["pattern"]) for r in ctx.token_rules])
     words = "|".join(KEYED_PROVIDERS)
-    keyed = rf"(?i)\b(?:{words})[\w.\-]{{0,24}}[\"']?\s{{0,3}}(?:=|:|=>|:=)\s{{0,3}}[\"']?[A-Za-z0-9_\-]{{24,64}}(?![\w\-])"
+    keyed = rf"(?i)\b(?:{words})[\w.\-]{{0,24}}[\"']?\s{{0,3}}(?:=|:|=>|:=)\s{{0,3}}[\"']?[A-Za-z0-9_\-]{{24,}}+(?![\w\-])"
     located = F.transform(
         hits(text, keyed, guard=F.regexp_like(text, F.lit(r"[:=>][ \t]{0,3}[\"']?[A-Za-z0-9_\-]{24}"))),
-        lambda h: inner(h, r"(?is)^(.*?[=:>]\s*[\"']?)([A-Za-z0-9_\-]{24,64})$", 2))
+        lambda h: inner(h, r"(?is)^(.*?[=:>]\s*[\"']?)([A-Za-z0-9_\-]{24,})$", 2))
     mixed = r"^(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])"
     return join_findings(
         _rule_findings(text, rules, "gitleaks", 91),
@@ -155,9 +157,9 @@ def providers(text: Column, ctx: Context) -> Column:
 
 def split_strings(text: Column, ctx: Context) -> Column:
     """A token written as several string literals: every piece that belongs to it is a finding."""
-    literal = r"\"[^\"\n]{2,400}\"|'[^'\n]{2,400}'"
+    literal = r"\"[^\"\n]{2,}+\"|'[^'\n]{2,}+'"
     glue = r"[ \t]{0,8}[+&.,]?[ \t]{0,8}_?\s{0,40}"
-    runs = hits(text, rf"(?:{literal})(?:{glue}(?:{literal})){{1,8}}",
+    runs = hits(text, rf"(?:{literal})(?:{glue}(?:{literal})){{1,{MOST_PIECES}}}",
                 guard=F.regexp_like(text, F.lit(r"[\"'][ \t]*[+&.,]?[ \t]*_?\s*[\"']")))
     token = JWT + "|" + "|".join(p + b for p, b in TOKEN_RULES)
 
@@ -203,33 +205,34 @@ _SECRET_WORD = (
     r"secret[_.\-]?key|private[_.\-]?key|auth[_.\-]?key|encryption[_.\-]?key|account[_.\-]?key|shared[_.\-]?access[_.\-]?key)"
 )
 _KEY = rf"(?<![A-Za-z0-9_.\-$])[A-Za-z0-9_.\-]{{0,60}}{_SECRET_WORD}"
-_QUOTED = rf"(?i){_KEY}(?:\\?[\"'])?[ \t]{{0,8}}(?:=>|:=|[:=])[ \t]{{0,8}}(?:(\\?\")[^\"\n]{{1,400}}?\1|'[^'\n]{{1,400}}')"
-_BARE = rf"(?i){_KEY}[ \t]{{0,8}}(?:=>|:=|[:=])[ \t]{{0,8}}[^\s\"'`,;<>|{{}}]{{1,400}}"
-_XML = rf"(?i)<(?:\w{{1,20}}:)?([A-Za-z0-9_.\-]{{0,60}}{_SECRET_WORD})>[^<\n]{{1,400}}(?=</)"
-_FLAG = rf"(?i)(?<![\w\-])--?[A-Za-z0-9\-]{{0,40}}{_SECRET_WORD}(?:=|[ \t]{{1,4}})[\"']?[^\s\"'`<>|]{{1,400}}"
-_URL_USER = r"(?U)[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s/:@\"'<>]{0,100}:[^\s/@\"'<>]{1,200}(?=@)"
+_QUOTED = rf"(?i){_KEY}(?:\\?[\"'])?[ \t]{{0,8}}(?:=>|:=|[:=])[ \t]{{0,8}}(?:(\\?\")[^\"\n]+?\1|'[^'\n]++')"
+_BARE = rf"(?i){_KEY}[ \t]{{0,8}}(?:=>|:=|[:=])[ \t]{{0,8}}[^\s\"'`,;<>|{{}}]++"
+_XML = rf"(?i)<(?:\w{{1,20}}:)?([A-Za-z0-9_.\-]{{0,60}}{_SECRET_WORD})>[^<\n]++(?=</)"
+_FLAG = rf"(?i)(?<![\w\-])--?[A-Za-z0-9\-]{{0,40}}{_SECRET_WORD}(?:=|[ \t]{{1,4}})[\"']?[^\s\"'`<>|]++"
+_URL_USER = r"(?U)[A-Za-z][A-Za-z0-9+.\-]{1,20}://[^\s/:@\"'<>]*+:[^\s/@\"'<>]++(?=@)"
 _BEARER = r"(?i)authorization[\"']?[ \t]{0,4}[:=][ \t]{0,4}[\"']?(?:bearer|basic|token)[ \t]{1,4}[A-Za-z0-9._~+/=\-]{8,}"
-# administration commands: (lead that is kept, value behind it); the leads start with distinct words
+# administration commands: (lead that is kept, value behind it); the leads start with distinct words. A value has
+# no maximum; its option stands up to 2,000 characters behind the command word.
 COMMAND_RULES = (
-    (r"\bmysql(?:dump|admin)?\b[^\n|;]{0,120}?[ \t]-p(?=[^\s\-])", r"[^\s\"']{2,100}"),
-    (r"\bcurl\b[^\n|;]{0,200}?[ \t](?:-u|--user)[ \t]{0,2}[\"']?[^\s:\"']{1,60}:", r"[^\s\"']{1,100}"),
-    (r"\bsshpass[ \t]+-p[ \t]{0,2}[\"']?", r"[^\s\"']{1,100}"),
-    (r"\bConvertTo-SecureString[ \t]+(?:-String[ \t]+)?[\"']", r"[^\"'\n]{1,200}(?=[\"'])"),
-    (r"\bnet[ \t]+user[ \t]+[^\s/]{1,60}[ \t]+(?![/*])", r"[^\s]{3,100}"),
-    (r"\bnet[ \t]+use\b[^\n]{0,120}?/user:[^\s]{1,60}[ \t]+(?![/*])", r"[^\s]{3,100}"),
-    (r"\bIDENTIFIED[ \t]+(?:WITH[ \t]+\S{1,40}[ \t]+)?BY[ \t]+'", r"[^'\n]{1,200}(?=')"),
-    (r"\b(?:USER|ROLE|SET)\b[^\n;]{0,120}?\bPASSWORD[ \t]*=?[ \t]*'", r"[^'\n]{1,200}(?=')"),
-    (r"\b(?:requirepass|masterauth)[ \t]+", r"[^\s\"']{3,100}"),
-    (r"\bredis-cli\b[^\n|;]{0,120}?[ \t]-a[ \t]+", r"[^\s\"']{3,100}"),
-    (r"\bldap(?:search|modify|add|passwd|whoami|delete)\b[^\n|;]{0,200}?[ \t]-w[ \t]+[\"']?", r"[^\s\"']{3,100}"),
-    (r"\bopenssl\b[^\n|;]{0,200}?[ \t\"']pass:", r"[^\s\"']{1,100}"),
-    (r"\bsmbclient\b[^\n|;]{0,200}?-U[ \t]{0,2}[\"']?[^\s%\"'`]{1,60}%", r"[^\s\"'`,]{3,100}"),
-    (r"\bx?freerdp\b[^\n|;]{0,200}?[ \t]/p:[\"']?", r"[^\s\"']{3,100}"),
-    (r"\bp(?:link|scp)(?:\.exe)?\b[^\n|;]{0,120}?[ \t]-pw[ \t]+(?!\()", r"[^\s\"']{3,100}"),
-    (r"\b(?:psexec|docker[ \t]+login)\b[^\n|;]{0,120}?[ \t]-p[ \t]+[\"']?", r"[^\s\"']{3,100}"),
-    (r"\b(?:password|secret)[ \t]+[0-9][ \t]+", r"[^\s\"']{5,200}"),
+    (r"\bmysql(?:dump|admin)?\b[^\n|;]{0,2000}?[ \t]-p(?=[^\s\-])", r"[^\s\"']{2,}+"),
+    (r"\bcurl\b[^\n|;]{0,2000}?[ \t](?:-u|--user)[ \t]{0,2}[\"']?[^\s:\"']{1,60}:", r"[^\s\"']++"),
+    (r"\bsshpass[ \t]+-p[ \t]{0,2}[\"']?", r"[^\s\"']++"),
+    (r"\bConvertTo-SecureString[ \t]+(?:-String[ \t]+)?[\"']", r"[^\"'\n]++(?=[\"'])"),
+    (r"\bnet[ \t]+user[ \t]+[^\s/]{1,60}[ \t]+(?![/*])", r"[^\s]{3,}+"),
+    (r"\bnet[ \t]+use\b[^\n]{0,2000}?/user:[^\s]{1,60}[ \t]+(?![/*])", r"[^\s]{3,}+"),
+    (r"\bIDENTIFIED[ \t]+(?:WITH[ \t]+\S{1,40}[ \t]+)?BY[ \t]+'", r"[^'\n]++(?=')"),
+    (r"\b(?:USER|ROLE|SET)\b[^\n;]{0,2000}?\bPASSWORD[ \t]*=?[ \t]*'", r"[^'\n]++(?=')"),
+    (r"\b(?:requirepass|masterauth)[ \t]+", r"[^\s\"']{3,}+"),
+    (r"\bredis-cli\b[^\n|;]{0,2000}?[ \t]-a[ \t]+", r"[^\s\"']{3,}+"),
+    (r"\bldap(?:search|modify|add|passwd|whoami|delete)\b[^\n|;]{0,2000}?[ \t]-w[ \t]+[\"']?", r"[^\s\"']{3,}+"),
+    (r"\bopenssl\b[^\n|;]{0,2000}?[ \t\"']pass:", r"[^\s\"']++"),
+    (r"\bsmbclient\b[^\n|;]{0,2000}?-U[ \t]{0,2}[\"']?[^\s%\"'`]{1,60}%", r"[^\s\"'`,]{3,}+"),
+    (r"\bx?freerdp\b[^\n|;]{0,2000}?[ \t]/p:[\"']?", r"[^\s\"']{3,}+"),
+    (r"\bp(?:link|scp)(?:\.exe)?\b[^\n|;]{0,2000}?[ \t]-pw[ \t]+(?!\()", r"[^\s\"']{3,}+"),
+    (r"\b(?:psexec|docker[ \t]+login)\b[^\n|;]{0,2000}?[ \t]-p[ \t]+[\"']?", r"[^\s\"']{3,}+"),
+    (r"\b(?:password|secret)[ \t]+[0-9][ \t]+", r"[^\s\"']{5,}+"),
 )
-_HASH = r"(?<![\w$])\$(?:1|5|6|7|2[abxy]|apr1|y|gy|8|9|argon2id?|sha1)\$[A-Za-z0-9./$,=+\-]{12,400}"
+_HASH = r"(?<![\w$])\$(?:1|5|6|7|2[abxy]|apr1|y|gy|8|9|argon2id?|sha1)\$[A-Za-z0-9./$,=+\-]{12,}+"
 _CODE_VALUE = (
     r"^(?:[A-Za-z_][\w.\[\]]*\(|(?:self|this|os|sys|env|process|config|settings|request|response|options|args|data|var"
     r"|local|module|secrets|vars|values|inputs|steps|github|each|each\.value)\.|[A-Z][a-z]+(?:[A-Z][a-z]+)*$"
@@ -333,7 +336,7 @@ def kv_secrets(text: Column, ctx: Context) -> Column:
 # ---------------------------------------------------------------- PEM, hex, random
 def pem(text: Column, ctx: Context) -> Column:
     """Bodies of private keys and certificates, also with escaped line ends and as Base64."""
-    block = r"(?s)-----BEGIN (?!PUBLIC)[A-Z0-9 ]{0,40}(?:PRIVATE KEY(?: BLOCK)?|CERTIFICATE)-----.{1,65536}?-----END [A-Z0-9 ]{4,60}-----"
+    block = r"(?s)-----BEGIN (?!PUBLIC)[A-Z0-9 ]{0,40}(?:PRIVATE KEY(?: BLOCK)?|CERTIFICATE)-----.+?-----END [A-Z0-9 ]{4,60}-----"
     edge = r"(?:\s|\\[nrt]){0,64}"
 
     def body(h: Column) -> Column:
@@ -392,11 +395,11 @@ def random_tokens(text: Column, ctx: Context) -> Column:
         meta=lambda h: _keep(F.length(F.regexp_extract(h["text"], "^[a-z]{2,12}_", 0))))
     alone = F.trim(text)
     lead = F.length(F.regexp_extract(text, r"(?U)^\s*", 0))
-    symbols = F.regexp_like(alone, F.lit(r"^(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9])[!-~]{10,64}$")) & F.regexp_like(
+    symbols = F.regexp_like(alone, F.lit(r"^(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])(?=[^0-9]*[0-9])[!-~]{10,}$")) & F.regexp_like(
         alone, F.lit(r"[!#$%&*+=?@^~]")) & ~F.regexp_like(alone, F.lit(r"://|^[^@]+@[^@]+\.[a-z]+$|[(){}\[\];]|^[A-Za-z_]\w*="))
-    plain = F.regexp_like(alone, F.lit(r"^[A-Za-z0-9_+\-]{16,64}={0,2}$")) & _random(alone)
+    plain = F.regexp_like(alone, F.lit(r"^[A-Za-z0-9_+\-]{16,}={0,2}$")) & _random(alone)
     whole = F.when(
-        (F.length(text) <= 200) & (symbols | plain),
+        ~F.regexp_like(alone, F.lit(r"\s")) & (symbols | plain),
         findings(F.array(F.struct(lead.cast("int").alias("start"), alone.alias("text"))),
                  "SECRET", "random-tokens", 63)).otherwise(empty(FINDINGS))
     return join_findings(inside, whole)

@@ -81,7 +81,7 @@ def plausible(entities: DataFrame, common: DataFrame | None = None, english: Dat
                      & ~F.regexp_like(x, F.lit(r"^(?:Mc|Mac|De|Di|Da|Du|La|Le|Van|Von|O')[A-ZÀ-Þ][a-zß-ÿ]+$")))
     parts = F.filter(F.flatten(F.transform(lo, lambda x: F.split(x, r"[/.\-]"))), lambda x: x != "")
     public = F.exists(parts, lambda x: one_of(x, lists.PUBLIC_ORGS)) & F.forall(parts, lambda x: one_of(
-        x, (*lists.PUBLIC_ORGS, *lists.PUBLIC_ORG_EXTRA, "sas")) | F.regexp_like(x, F.lit(r"^v?[0-9]+(?:\.[0-9]+)*$")))
+        x, (*lists.PUBLIC_ORGS, *lists.PUBLIC_ORG_EXTRA, *lists.PUBLIC_ORG_PHRASES, "sas")) | F.regexp_like(x, F.lit(r"^v?[0-9]+(?:\.[0-9]+)*$")))
     base = (
         F.length(F.trim(span)).between(2, 80) & (F.length(span) <= 80) & (F.size(w) > 0)
         & ~F.regexp_like(span, F.lit(r"[=(){}\[\]$;|<>`*#_\\/\":+%~^@\n]"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import secrets as _random
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from veilspan.functions import ip
 from veilspan.functions import text as tx
 from veilspan.functions.regex import empty, finding, hits, let
 from veilspan.functions.tables import cut, lookup, spread
-from veilspan.functions.url import MAX_UNWRAP, clean_url
+from veilspan.functions.url import clean_url
 from veilspan.lists import Context
 from veilspan.operators import words as wd
-from veilspan.operators.detect import domain_allowed, explode_spans, find_spans
+from veilspan.operators import detectors as registry
+from veilspan.operators.detect import domain_allowed, explode_spans, find_spans, raw_spans
 from veilspan.operators.detectors import network
 from veilspan.operators.spans import apply_spans, outside, resolve
 from veilspan.operators.surrogates import _session_cached, assign, number_placeholders
@@ -52,46 +54,61 @@ def _unwrapped(span: Column) -> Column:
     return F.try_element_at(span["meta"], F.lit("unwrap"))
 
 
-def _targets(found: DataFrame) -> DataFrame:
-    """Distinct link targets behind redirect wrappers, as a small set of texts of their own."""
-    targets = found.select(F.explode_outer(F.filter(F.transform("spans", lambda s: _unwrapped(s)), lambda t: t.isNotNull())).alias("text"))
-    return targets.where(F.col("text").isNotNull()).distinct().withColumn("doc_id", F.col("text"))
-
-
 def _apply(docs: DataFrame, spans: str, text: str) -> DataFrame:
     done = docs.withColumn("_r", apply_spans(F.col(text), F.col(spans)))
     return done.withColumn("output", F.col("_r.output")).withColumn("replacements", F.col("_r.replacements")).drop("_r", spans)
 
 
-def redact(docs: DataFrame, template: str | None = None, ctx: Context | None = None, text: str = "text",
-           detectors=None, depth: int = MAX_UNWRAP) -> DataFrame:
-    """``docs`` plus ``output``, ``replacements``, ``warnings``. One projection over the table; only
-    texts behind redirect wrappers take an extra (small) pass."""
+def redact(docs: DataFrame, template: str | None = None, ctx: Context | None = None, text: str = "text", detectors=None,
+           state: State | None = None, project: str = "redact", key: str | None = None, doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` plus ``output``, ``replacements``, ``warnings``. One projection over the table.
+
+    What stands behind redirect wrappers is detected and redacted like the text itself. Types with a
+    mode of their own that needs surrogates (``ctx.type_modes``) get them from ``state`` and ``key``,
+    or irreversible ones without; ``doc_id`` has to be unique then.
+    """
     ctx = ctx or Context()
-    found = find_spans(docs, detectors=detectors, ctx=ctx, text=text)
-    return _redact_found(found, template or ctx.redact_template, ctx, text)
+    ctx = replace(ctx, redact_template=template or ctx.redact_template)
+    if {"pseudonymize", "anonymize"} & set(ctx.type_modes.values()):
+        return pseudonymize(docs, state or State.empty(docs.sparkSession), project, key or _random.token_hex(32), ctx, mode="redact",
+                            detectors=detectors, doc_id=doc_id, text=text)[0]
+    col = F.col(text)
+    links = F.filter(F.transform(raw_spans(col, ctx, ("tracking",)), _unwrapped), lambda t: t.isNotNull())
+    if "tracking" not in {d.id for d in registry.selected(detectors, ())}:
+        links = F.array().cast("array<string>")
+    # the targets stand behind the text, a line each, so one pass detects in both
+    both = docs.withColumn("_wrapped", F.array_distinct(links)).withColumn(
+        "_targets", F.transform("_wrapped", lambda t: clean_url(t, ctx.tracking_params))).withColumn(
+        "_both", F.when(F.size("_targets") > 0, F.concat(col, F.lit("\n"), F.array_join("_targets", "\n"))).otherwise(col))
+    return _redact_found(find_spans(both, detectors=detectors, ctx=ctx, text="_both"), ctx, text).drop("_wrapped", "_targets", "_both")
+
+
+def _redact_found(found: DataFrame, ctx: Context, text: str) -> DataFrame:
+    def plain(s: Column) -> Column:
+        kept = (s["type"] == "DOMAIN") & domain_allowed(s["text"], ctx)
+        return F.when(kept, F.lit(None)).otherwise(redact_text(s, ctx.redact_template))
 
+    def target(t: Column, k: Column) -> Column:
+        ahead = F.aggregate(F.slice("_targets", F.lit(1), k), F.length(text) + 1, lambda a, x: a + F.length(x) + 1)
 
-def _redact_found(found: DataFrame, template: str, ctx: Context, text: str) -> DataFrame:
-    def value(s: Column) -> Column:
-        kept = (s["type"] == "DOMAIN") & domain_allowed(s["text"], ctx)
-        target = _unwrapped(s)
-        return F.when(s["type"] == "TRACKING", F.when(target.isNull(), "").otherwise(_redact_url(target, template, ctx))).when(
-            kept, F.lit(None)).otherwise(redact_text(s, template))
+        def within(begin: Column) -> Column:
+            inside = F.filter("spans", lambda s: (s["start"] >= begin) & (s["end"] <= begin + F.length(t)) & (s["type"] != "TRACKING"))
+            moved = F.transform(inside, lambda s: _with_replacement(s, plain(s)).withField(
+                "start", (s["start"] - begin).cast("int")).withField("end", (s["end"] - begin).cast("int")))
+            return apply_spans(t, moved)["output"]
 
-    marked = found.withColumn("_s", F.transform("spans", lambda s: _with_replacement(s, value(s))))
-    return _apply(marked, "_s", text).drop("spans")
+        return let(ahead, within)
 
+    clean = F.transform("_targets", target)
 
-def _redact_url(url: Column, template: str, ctx: Context) -> Column:
-    """A link target, cleaned of tracking, with its e-mail addresses, hosts and IPs redacted."""
-    def once(u: Column) -> Column:
-        parts = F.concat(network.email(u, ctx), network.ipv4(u, ctx), network.domain(u, ctx)).cast(FINDINGS)
-        kept = F.filter(parts, lambda s: ~((s["type"] == "DOMAIN") & domain_allowed(s["text"], ctx)))
-        chosen = F.transform(resolve(kept), lambda s: _with_replacement(s, redact_text(s, template)))
-        return apply_spans(u, chosen)["output"]
+    def value(s: Column) -> Column:
+        at = F.array_position("_wrapped", _unwrapped(s)).cast("int")
+        return F.when(s["type"] == "TRACKING", F.when(_unwrapped(s).isNull(), "").otherwise(F.get("_clean", at - 1))).otherwise(plain(s))
 
-    return let(clean_url(url, ctx.tracking_params), once)
+    own = let(F.length(text), lambda n: F.filter("spans", lambda s: s["end"] <= n))
+    marked = found.withColumn("_clean", F.when(F.size("_targets") > 0, clean).otherwise(F.array().cast("array<string>"))).withColumn(
+        "_s", F.transform(own, lambda s: _with_replacement(s, value(s))))
+    return _apply(marked, "_s", text).drop("spans", "_clean")
 
 
 # ---------------------------------------------------------------- pseudonymise, anonymise
@@ -150,7 +167,7 @@ def _learned_by_project(docs: DataFrame, state: State, project: str, doc_id: str
 
 def pseudonymize(docs: DataFrame, state: State, project: str, key: str, ctx: Context | None = None, scope: str = "document",
                  mode: str = "pseudonymize", detectors=None, doc_id: str = "doc_id", text: str = "text", ts: str | None = None,
-                 avoid_context: bool = True, found: DataFrame | None = None, depth: int = MAX_UNWRAP) -> tuple[DataFrame, State]:
+                 avoid_context: bool = True, found: DataFrame | None = None) -> tuple[DataFrame, State]:
     """(docs + output, replacements, warnings; the state with the new mappings).
 
     Detection runs once; its findings (not the texts) are written to the checkpoint folder and
@@ -177,10 +194,10 @@ def pseudonymize(docs: DataFrame, state: State, project: str, key: str, ctx: Con
         doc_id, *([ts] if ts else []), "i", "s.*", text_mode(F.col("s")).alias("mode"))
     tracked = rows.where("type = 'TRACKING'").select(_unwrapped(F.struct("meta")).alias("t")).where("t is not null").distinct()
     targets = None
-    if depth > 0 and not tracked.isEmpty():
+    if not tracked.isEmpty():  # a target is shorter than its wrapper, so this comes to an end
         inner = cut(tracked.select(F.col("t").alias(doc_id), F.col("t").alias(text)))
         done, state = pseudonymize(inner, state, project, key, ctx, "document", mode, detectors, doc_id, text,
-                                   avoid_context=avoid_context, depth=depth - 1)
+                                   avoid_context=avoid_context)
         targets = cut(done.select(F.col(text).alias("_target"), F.col("output").alias("_clean")))
 
     wanted = rows.where((F.col("type") != "TRACKING") & (F.col("mode") == "pseudonymize"))
@@ -242,8 +259,8 @@ def placeholders(docs: DataFrame, state: State, project: str, key: str, ctx: Con
     spans = cut(find_spans(docs, detectors=detectors, ctx=ctx, text=text).select(doc_id, "spans", "warnings").where(
         F.size("spans") + F.size("warnings") > 0))
     rows = spans.select(doc_id, F.posexplode("spans").alias("i", "s")).select(
-        doc_id, "i", "s.*", F.lit("placeholder").alias("mode"))
-    firsts = rows.where("type <> 'TRACKING'").groupBy("type", F.col("text").alias("original")).agg(
+        doc_id, "i", "s.*", _mode_of(F.col("s"), "placeholder", ctx).alias("mode"))
+    firsts = rows.where("type <> 'TRACKING' and mode = 'placeholder'").groupBy("type", F.col("text").alias("original")).agg(
         F.min(F.struct(F.col(doc_id).alias("doc"), F.col("start"))).alias("first"))
     firsts = cut(firsts)
     new_state = number_placeholders(firsts, state, project, F.lit(key))
@@ -252,7 +269,20 @@ def placeholders(docs: DataFrame, state: State, project: str, key: str, ctx: Con
     mark = ctx.placeholder_template
     value = F.replace(F.replace(F.lit(mark), F.lit("{type}"), F.col("type")), F.lit("{n}"), F.col("n").cast("string"))
     table = numbered.select(F.lit("placeholder").alias("mode"), "type", F.col("original").alias("text"), value.alias("surrogate"))
-    return _rewrite(docs, spans, rows, table, None, ctx, doc_id, text), new_state
+    for other in sorted({"pseudonymize", "anonymize"} & set(ctx.type_modes.values())):
+        lasting = other == "pseudonymize"
+        named = assign(originals_of(rows.where(F.col("mode") == other).where("type <> 'TRACKING'")), new_state if lasting else State.empty(docs.sparkSession),
+                       project, F.lit(key if lasting else _random.token_hex(32)), ctx, None)
+        new_state = named if lasting else new_state
+        table = table.unionByName(named.mappings.where(F.col("project") == project).select(
+            F.lit(other).alias("mode"), "type", F.col("original").alias("text"), "surrogate"))
+    tracked = rows.where("type = 'TRACKING'").select(_unwrapped(F.struct("meta")).alias("t")).where("t is not null").distinct()
+    targets = None
+    if not tracked.isEmpty():
+        done, new_state = placeholders(cut(tracked.select(F.col("t").alias(doc_id), F.col("t").alias(text))), new_state, project, key, ctx,
+                                       detectors, doc_id, text)
+        targets = cut(done.select(F.col(text).alias("_target"), F.col("output").alias("_clean")))
+    return _rewrite(docs, spans, rows, table, targets, ctx, doc_id, text), new_state
 
 
 # ---------------------------------------------------------------- revert

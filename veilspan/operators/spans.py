@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilspan.functions.regex import empty, let
+from veilspan.functions.regex import BLOCK, empty, let
 from veilspan.schema import REPLACEMENTS
 
 _KEY = "struct<s:int,e:int,a:int,b:int,i:int>"
@@ -23,18 +23,30 @@ def _sort_keys(spans: Column, by_length: bool) -> Column:
 
 
 def _clusters(keys: Column) -> Column:
-    """Group spans that are connected by overlaps; a choice in one group never touches another."""
-    def step(acc: Column, x: Column) -> Column:
-        same = x["s"] < acc["end"]
-        return F.when(same, F.struct(
-            F.greatest(acc["end"], x["e"]).alias("end"), acc["done"].alias("done"),
-            F.array_append(acc["cur"], x).alias("cur"))).otherwise(F.struct(
-                x["e"].alias("end"), F.array_append(acc["done"], acc["cur"]).alias("done"),
-                F.array(x).alias("cur")))
+    """Group spans that are connected by overlaps; a choice in one group never touches another. A
+    group begins where a span starts behind the ends of all before it; the largest end so far comes
+    from the blocks before and the own block."""
+    def build(v: Column) -> Column:
+        ends, n = F.transform(v, lambda k: k["e"]), F.size(v)
+        numbers = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
+        def group(m: Column) -> Column:
+            def first(x: Column, i: Column) -> Column:
+                b = F.floor(i / BLOCK).cast("int")
+                own = F.array_max(F.slice(m["ends"], b * BLOCK + 1, i - b * BLOCK))
+                reach = F.greatest(own, F.array_max(F.slice(m["tops"], F.lit(1), b)))
+                return reach.isNull() | (x["s"] >= reach)
+
+            index = F.transform(F.filter(F.transform(v, lambda x, i: F.struct(i.alias("i"), first(x, i).alias("new"))),
+                                         lambda t: t["new"]), lambda t: t["i"])
+            return let(index, lambda at: F.transform(at, lambda i, k: F.slice(
+                v, i + 1, F.coalesce(F.get(at, k + 1), n) - i)))
+
+        tops = let(ends, lambda e: F.struct(e.alias("ends"), F.transform(
+            numbers, lambda b: F.array_max(F.slice(e, b * BLOCK + 1, F.lit(BLOCK)))).alias("tops")))
+        return let(tops, group)
 
-    zero = F.struct(F.lit(-1).alias("end"), empty(f"array<array<{_KEY}>>").alias("done"),
-                    empty(f"array<{_KEY}>").alias("cur"))
-    return F.aggregate(F.array_sort(keys), zero, step, lambda a: F.array_append(a["done"], a["cur"]))
+    return let(F.array_sort(keys), lambda v: F.when(F.size(v) > 0, build(v)).otherwise(empty(f"array<array<{_KEY}>>")))
 
 
 def _greedy(cluster: Column) -> Column:
@@ -63,27 +75,50 @@ def apply_spans(text: Column, spans: Column, replacement: str = "replacement") -
     """STRUCT<output, replacements> for disjoint spans sorted by start. Every span has the
     replacement text in the field ``replacement``; NULL or equal to the original means no change."""
     def build(v: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            chunk = F.substring(text, acc["pos"] + 1, x["start"] - acc["pos"])
-            out_start = (acc["out"] + F.length(chunk)).cast("int")
-            out_end = (out_start + F.length(x[replacement])).cast("int")
-            rep = F.struct(
-                x["start"].alias("in_start"), x["end"].alias("in_end"), out_start.alias("out_start"),
-                out_end.alias("out_end"), x["type"].alias("type"), x["text"].alias("original"),
-                x[replacement].alias("replacement"), x["detector"].alias("detector"))
-            return F.struct(
-                x["end"].alias("pos"), out_end.alias("out"),
-                F.concat(acc["parts"], F.array(chunk, x[replacement])).alias("parts"),
-                F.array_append(acc["reps"], rep).alias("reps"))
-
-        def finish(acc: Column) -> Column:
-            tail = F.substring(text, acc["pos"] + 1, F.length(text))
-            return F.struct(F.concat(F.array_join(acc["parts"], ""), tail).alias("output"),
-                            acc["reps"].alias("replacements"))
-
-        zero = F.struct(F.lit(0).alias("pos"), F.lit(0).alias("out"), empty("array<string>").alias("parts"),
-                        empty(REPLACEMENTS).alias("reps"))
-        return F.aggregate(v, zero, step, finish)
+        n = F.size(v)
+        numbers = F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))
+
+        def block(b: Column) -> Column:
+            """The stretch of text from the last span of the block before to the end of the own last one
+            is cut out once; positions inside it are short walks."""
+            begin = F.when(b == 0, 0).otherwise(v[F.greatest(b * BLOCK - 1, F.lit(0))]["end"])
+            last = v[F.least((b + 1) * BLOCK, n) - 1]["end"]
+            head = F.struct(begin.alias("begin"), F.substring(text, begin + 1, last - begin).alias("t"))
+
+            def run(h: Column) -> Column:
+                def step(acc: Column, x: Column) -> Column:
+                    chunk = F.substring(h["t"], acc["pos"] - h["begin"] + 1, x["start"] - acc["pos"])
+                    out_start = (acc["out"] + F.length(chunk)).cast("int")
+                    out_end = (out_start + F.length(x[replacement])).cast("int")
+                    rep = F.struct(
+                        x["start"].alias("in_start"), x["end"].alias("in_end"), out_start.alias("out_start"),
+                        out_end.alias("out_end"), x["type"].alias("type"), x["text"].alias("original"),
+                        x[replacement].alias("replacement"), x["detector"].alias("detector"))
+                    return F.struct(
+                        x["end"].alias("pos"), out_end.alias("out"),
+                        F.concat(acc["parts"], F.array(chunk, x[replacement])).alias("parts"),
+                        F.array_append(acc["reps"], rep).alias("reps"))
+
+                zero = F.struct(h["begin"].alias("pos"), F.lit(0).alias("out"), empty("array<string>").alias("parts"),
+                                empty(REPLACEMENTS).alias("reps"))
+                return F.aggregate(F.slice(v, b * BLOCK + 1, F.lit(BLOCK)), zero, step, lambda a: F.struct(
+                    F.array_join(a["parts"], "").alias("text"), a["out"].alias("size"), a["reps"].alias("reps")))
+
+            return let(head, run)
+
+        def finish(done: Column) -> Column:
+            def shifted(d: Column, b: Column) -> Column:
+                shift = F.aggregate(F.slice(done, F.lit(1), b), F.lit(0), lambda a, x: a + x["size"])
+                return let(shift, lambda s: F.transform(d["reps"], lambda r: F.struct(
+                    r["in_start"].alias("in_start"), r["in_end"].alias("in_end"), (r["out_start"] + s).cast("int").alias("out_start"),
+                    (r["out_end"] + s).cast("int").alias("out_end"), r["type"].alias("type"), r["original"].alias("original"),
+                    r["replacement"].alias("replacement"), r["detector"].alias("detector"))))
+
+            tail = F.substring(text, v[n - 1]["end"] + 1, F.length(text))
+            return F.struct(F.concat(F.array_join(F.transform(done, lambda d: d["text"]), ""), tail).alias("output"),
+                            F.flatten(F.transform(done, shifted)).alias("replacements"))
+
+        return let(F.transform(numbers, block), finish)
 
     changed = F.filter(spans, lambda x: x[replacement].isNotNull() & (x[replacement] != x["text"]))
     unchanged = F.struct(text.alias("output"), empty(REPLACEMENTS).alias("replacements"))
