@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -10,7 +9,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import ip
 from veilspan.functions import text as tx
-from veilspan.functions.tables import cut, spread
+from veilspan.functions.tables import cut, spread, shared_folder
 from veilspan.lists import Context
 from veilspan.operators import boxes as bx
 from veilspan.operators import modes, report
@@ -325,7 +324,7 @@ def box_document_text(spark, sf):
 def _stream(spark, rows: DataFrame, name: str) -> DataFrame:
     """The rows as a file stream in the folder for checkpoints (a stand-in for a topic)."""
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = shared_folder(spark)
     folder = f"{root}/{name}-{uuid.uuid4().hex}"
     rows.write.mode("overwrite").parquet(folder)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(folder)
@@ -333,12 +332,14 @@ def _stream(spark, rows: DataFrame, name: str) -> DataFrame:
 
 def _finished(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run an available-now stream to its end and return what its sink holds."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    root = shared_folder(spark)
     unique = f"{name}_{uuid.uuid4().hex}"
     if mode == "complete":
-        out = stream.writeStream.outputMode(mode).format("memory").queryName(unique).option("checkpointLocation", f"{root}/{unique}").trigger(availableNow=True).start()
-        out.awaitTermination()
-        return spark.table(unique)
+        def replace(batch: DataFrame, _id: int) -> None:  # every batch has the whole result
+            batch.write.mode("overwrite").parquet(f"{root}/{unique}")
+
+        stream.writeStream.outputMode(mode).foreachBatch(replace).option("checkpointLocation", f"{root}/{unique}-c").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(f"{root}/{unique}")
     out = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{root}/{unique}-c").option("path", f"{root}/{unique}").trigger(availableNow=True).start()
     out.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/{unique}")
@@ -403,14 +404,24 @@ def stream_decisions(spark, sf):
 @query("stream_settled", """
 with g as (select user_id, event_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval '30 seconds' then 0 else 1 end as new from events),
 s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g)
-select 'u' || cast(user_id as varchar) as source_id, max(ts) as ts from s group by user_id, k""")
+select 'u' || cast(user_id as varchar) as source_id, max(ts) as ts, max_by(""" + _WATCH + """, struct_pack(a := ts, b := """ + _WATCH + """)) as text from s join events using (event_id, user_id, ts) group by user_id, k""")
 def stream_settled(spark, sf):
-    return st.settle(_watch_events(spark, sf), "30 seconds").select("source_id", "ts")
-
-
-@query("expired_secrets")
+    """As a stream over files: sessions close when the watermark has passed them, so later rows follow."""
+    events = _watch_events(spark, sf)
+    end = events.agg(F.max("ts")).first()[0]
+    last = events.limit(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit("end").alias("source_id"), (F.lit(end) + F.expr("interval 1 day")).alias("ts"), F.lit("").alias("text"))
+    stream = _stream(spark, events.unionByName(last.withColumn("event_id", F.col("event_id").cast(events.schema["event_id"].dataType))), "settled")
+    return _finished(spark, st.settle(stream, "30 seconds"), "stream_settled").where("source_id <> 'end'").select("source_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "text")
+
+
+@query("expired_secrets", """
+with e as (select user_id, ts, event_id % 3 = 0 as secret, lead(ts) over (partition by user_id order by ts) as nxt, max(ts) over () as now from events)
+select kind, count(*) as n from (
+ select 'scheduled' as kind from e where secret union all
+ select 'clear' from e where secret and coalesce(nxt, now) >= ts + interval '60 seconds') group by kind""")
 def expired_secrets(spark, sf):
-    """Custom state with event-time timers; SQL has no equivalent."""
-    rows = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), "ts", F.sha2("props", 256).alias("h"),
+    """Custom state with event-time timers; each secret is a text of its own. A last text is cleared when the
+    watermark (the newest time) has passed its deadline."""
+    rows = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), "ts", F.sha2(F.col("event_id").cast("string"), 256).alias("h"),
                                              F.when(F.col("event_id") % 3 == 0, "lone_secret").otherwise("none").alias("decision"))
     return _finished(spark, st.expire_secrets(_stream(spark, rows, "secrets")), "expired").groupBy("kind").agg(F.count("*").alias("n"))
