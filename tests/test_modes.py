@@ -183,3 +183,31 @@ def test_state_save_load_drop(spark, processed, tmp_path):
     assert opened.mappings.count() == state.mappings.count()
     assert decrypt_rows(sealed, F.unhex(F.lit("cd" * 32))).where("row is not null").count() == 0
     assert state.search("p", "BRANDT", "EMAIL").count() == 1
+
+
+def test_wrapped_targets_in_every_mode(spark):
+    """What stands behind five redirect wrappers is found in all modes; no original is left."""
+    from urllib.parse import quote
+
+    link = "https://shop.acme-test.de/p?mail=jonas.brandt@acme-test.de&iban=DE89370400440532013000"
+    for _ in range(5):
+        link = "https://www.google.com/url?sa=t&url=" + quote(link, safe="") + "&ved=2"
+    docs = spark.createDataFrame([(1, f"see {link} now")], "doc_id bigint, text string")
+    outputs = [
+        redact(docs, "<{type}>"), placeholders(docs, State.empty(spark), "p", KEY)[0], pseudonymize(docs, State.empty(spark), "p", KEY)[0],
+        redact(docs, "<{type}>", Context(type_modes={"EMAIL": "pseudonymize"})),
+        placeholders(docs, State.empty(spark), "p", KEY, Context(type_modes={"IBAN": "redact"}))[0],
+    ]
+    for out in outputs:
+        text = out.first()["output"]
+        assert text.startswith("see https://") and text.endswith(" now")
+        assert not re.search("brandt|acme|0440532013|google", text)
+
+
+def test_positions_across_blocks(spark):
+    """Replacements of a text with more spans than one block: offsets agree with both texts."""
+    text = " ".join(f"a{i} 10.1.{i % 250}.7" for i in range(700))
+    row = redact(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "<{type}>", detectors=("ipv4",)).first()
+    assert row["output"] == re.sub(r"10\.1\.\d+\.7", "<IPV4>", text) and len(row["replacements"]) == 700
+    for r in row["replacements"]:
+        assert text[r["in_start"]:r["in_end"]] == r["original"] and row["output"][r["out_start"]:r["out_end"]] == "<IPV4>"

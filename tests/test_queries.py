@@ -14,6 +14,8 @@ QUICK = (
     "resolve_by_priority", "resolve_by_length", "highlight_spans", "clean_url", "unwrap_url", "html_visible_text", "history_latest",
     "build_dictionary", "common_words", "decode_files", "checksums", "ip_classes", "dictionary_occurrences", "dictionary_join",
     "box_union", "box_merge", "box_best", "box_ocr", "windowed_counts", "sliding_counts", "session_counts", "stream_settled",
+    "long_secrets", "dense_text", "wrapped_targets", "type_overrides", "infra_vocabulary", "unchanged_replacements", "top_findings",
+    "box_totals", "char_positions", "own_events", "paused_events", "expired_secrets", "stream_counts",
 )
 
 
