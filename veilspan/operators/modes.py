@@ -20,7 +20,7 @@ from veilspan.operators.detect import domain_allowed, explode_spans, find_spans,
 from veilspan.operators.detectors import network
 from veilspan.operators.spans import apply_spans, outside, resolve
 from veilspan.operators.surrogates import _session_cached, assign, number_placeholders
-from veilspan.schema import CASE_INSENSITIVE_TYPES, FINDING, FINDINGS, IP_TYPES
+from veilspan.schema import CASE_INSENSITIVE_TYPES, CATEGORY_OF, FINDING, FINDINGS, IP_TYPES
 from veilspan.sources.state import State
 
 REPLACED = FINDING.replace("meta:map<string,string>>", "meta:map<string,string>,replacement:string>")
@@ -60,8 +60,10 @@ def _apply(docs: DataFrame, spans: str, text: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, template: str | None = None, ctx: Context | None = None, text: str = "text", detectors=None,
-           state: State | None = None, project: str = "redact", key: str | None = None, doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` plus ``output``, ``replacements``, ``warnings``. One projection over the table.
+           state: State | None = None, project: str = "redact", key: str | None = None, doc_id: str = "doc_id",
+           types: list[str] | None = None) -> DataFrame:
+    """``docs`` plus ``output``, ``replacements``, ``warnings``. One projection over the table; with ``types``
+    only findings of these.
 
     What stands behind redirect wrappers is detected and redacted like the text itself. Types with a
     mode of their own that needs surrogates (``ctx.type_modes``) get them from ``state`` and ``key``,
@@ -69,6 +71,8 @@ def redact(docs: DataFrame, template: str | None = None, ctx: Context | None = N
     """
     ctx = ctx or Context()
     ctx = replace(ctx, redact_template=template or ctx.redact_template)
+    if types is not None:
+        ctx = replace(ctx, disabled_types=(*ctx.disabled_types, *(t for t in CATEGORY_OF if t not in types)))
     if {"pseudonymize", "anonymize"} & set(ctx.type_modes.values()):
         return pseudonymize(docs, state or State.empty(docs.sparkSession), project, key or _random.token_hex(32), ctx, mode="redact",
                             detectors=detectors, doc_id=doc_id, text=text)[0]

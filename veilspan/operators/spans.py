@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.regex import BLOCK, empty, let
@@ -191,3 +191,11 @@ def highlight(text: Column, spans: Column) -> Column:
     zero = F.struct(F.lit(0).alias("pos"), empty("array<string>").alias("parts"))
     return F.aggregate(spans, zero, step, lambda a: F.concat(
         F.array_join(a["parts"], ""), escape(F.substring(text, a["pos"] + 1, F.length(text)))))
+
+
+def collect_spans(rows: DataFrame, *keys: str, order: str = "priority") -> DataFrame:
+    """Aggregate of findings, a row each, per key (a text): the disjoint spans that are chosen among
+    them, by start. Findings may come from several tables; a text's findings fit in its row."""
+    fields = F.struct("start", "end", "type", "text", "detector", "priority")
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("_f")).withColumn(
+        "spans", resolve(F.col("_f"), order)).drop("_f")

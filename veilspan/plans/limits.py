@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilspan import lists
@@ -11,8 +13,11 @@ from veilspan.operators import boxes as bx
 from veilspan.operators import report
 from veilspan.operators.detect import find_spans
 from veilspan.operators.modes import redact
-from veilspan.operators.spans import apply_spans
-from veilspan.plans.base import FOUND, derived, documents, query, spans_of, table
+from veilspan.functions.tables import shared_folder
+from veilspan.job import run as run_job
+from veilspan.operators.detect import explode_spans
+from veilspan.operators.spans import apply_spans, collect_spans
+from veilspan.plans.base import FOUND, SPANS_SQL, derived, documents, query, rewritten, spans_of, table
 from veilspan.streaming import watch as st
 
 # A value of 64 to 11,600 characters, and of 102,400 now and then, in nine wrappings.
@@ -141,3 +146,26 @@ def large_events(spark, sf):
     """Texts beyond an optional maximum pass with a decision of their own."""
     events = table(spark, sf, "events").select("event_id", F.regexp_replace("props", "[^ ]", "x").alias("text"))
     return st.watch(events, max_chars=40, clear_after=0, offer_base64=False).select("event_id", "decision")
+
+
+@query("collected_spans", SPANS_SQL)
+def collected_spans(spark, sf):
+    """Findings of single detectors, collected from rows: the same spans as in one pass."""
+    docs = documents(spark, sf)
+    parts = [explode_spans(find_spans(docs, detectors=d), "doc_id") for d in (("email", "ipv4", "domain"), ("creditcard", "phone", "kv-secrets", "hex-strings"))]
+    return collect_spans(parts[0].unionByName(parts[1]), "doc_id").select("doc_id", F.inline("spans")).select("doc_id", "start", "end", "type", "text")
+
+
+@query("job_redacts_types", rewritten("case when type in ('EMAIL', 'PHONE') then '[REDACTED]' else original end") + " select doc_id, output as text from o")
+def job_redacts_types(spark, sf):
+    """The job entry, from file to file, with two types only."""
+    target = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    run_job(spark, "redact", f"{sf}/documents.parquet", target, types=["EMAIL", "PHONE"])
+    return spark.read.parquet(target).select("doc_id", "text")
+
+
+@query("job_analyzes", SPANS_SQL)
+def job_analyzes(spark, sf):
+    target = f"{shared_folder(spark)}/job-{uuid.uuid4().hex}"
+    run_job(spark, "analyze", f"{sf}/documents.parquet", target)
+    return spark.read.parquet(target).select("doc_id", "start", "end", "type", "text")
