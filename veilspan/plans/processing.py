@@ -358,7 +358,8 @@ def layered_settings(spark, sf):
     return files.layered(one)
 
 
-@query("merged_lists", "select 'terms' as list_name, p_brand as value from part union select 'terms', c_mktsegment from customer")
+@query("merged_lists", """
+select 'terms' as list_name, value, min(place) as place from (select p_brand as value, 1 as place from part union all select c_mktsegment, 0 from customer) group by value""")
 def merged_lists(spark, sf):
     base = table(spark, sf, "part").select(F.lit("terms").alias("list_name"), F.col("p_brand").alias("value"))
     return files.merged_list(base, table(spark, sf, "customer").select(F.lit("terms").alias("list_name"), F.col("c_mktsegment").alias("value")))

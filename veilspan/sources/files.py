@@ -76,5 +76,7 @@ def layered(settings: DataFrame) -> DataFrame:
 
 
 def merged_list(base: DataFrame, additions: DataFrame) -> DataFrame:
-    """Additive lists: values of a policy are added, each value once."""
-    return additions.select("list_name", "value").union(base.select("list_name", "value")).distinct()
+    """Additive lists: (list_name, value, place). Values of a policy come in front (place 0), the others
+    behind (place 1), each value once."""
+    both = additions.select("list_name", "value", F.lit(0).alias("place")).union(base.select("list_name", "value", F.lit(1)))
+    return both.groupBy("list_name", "value").agg(F.min("place").alias("place"))
