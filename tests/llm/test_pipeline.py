@@ -40,8 +40,8 @@ def test_stages(spark, sf, tmp_path):
     assert {r.doc_id for r in good} == want and 0 < len(want) < len(kept)
 
     ids = sorted(want)
-    prints = [brute_print(kept[i].text, 5) for i in ids]
-    group = classes(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    prints = [brute_print(kept[i].text, 3) for i in ids]
+    group = classes(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 2])
     assert {r.doc_id for r in near} == {ids[c] for c in set(group)} and len(near) < len(good)
 
     items = [words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

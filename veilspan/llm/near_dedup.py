@@ -60,7 +60,7 @@ def fingerprint(text: bytes, words: int) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.int64)[0])
 
 
-def simhash(words: int = 5):
+def simhash(words: int = 3):
     """A column function text -> fingerprint."""
 
     @F.arrow_udf("bigint")
@@ -188,7 +188,7 @@ def fingerprint_links(prints: DataFrame, bits: int) -> DataFrame:
     return routed.groupBy("leaf").applyInArrow(_link_leaf(bits), "a bigint, b bigint")
 
 
-def near_groups(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """Per row of docs: doc_id, fp, component_id (the smallest doc_id of its group), root (its smallest fp)."""
     prints = stored(docs.select("doc_id", simhash(words)(F.col("text")).alias("fp")), "fingerprints")
     least = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
@@ -199,7 +199,7 @@ def near_groups(docs: DataFrame, words: int = 5, bits: int = 3) -> DataFrame:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def near_dedup(docs: DataFrame, words: int = 5, bits: int = 4) -> DataFrame:
+def near_dedup(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """docs with one row of each group: that of the smallest id. Ids of one row are kept by a semi join;
     rows whose id is null or repeated are told apart by their fingerprint, only if there are any."""
     rows = stored(near_groups(docs, words, bits), "near-groups")

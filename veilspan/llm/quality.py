@@ -31,7 +31,7 @@ FEATURES, WIDTH, RIDGE, SEED = 256, 1.5, 0.1, 97
 FOLDS = 4
 #: Statistics are held to this many standard deviations; raw scores to the grid.
 REACH, GRID_LOW, GRID_HIGH, GRID_STEPS = 6.0, -0.5, 1.5, 2000
-FAN_IN = 32
+FAN_IN = 8
 SLICE_BYTES = 1 << 20
 
 _CLASSES = np.zeros((256, 9))
