@@ -2,7 +2,7 @@
 
 A line is normalised to its words: lower case, letters and digits only, runs of digits as one 0. Lines
 of fewer than ``least`` words are left alone. Two lines are linked if their normal forms are equal, or
-if their SimHashes (64 bits over the words) differ in at most three bits and the edit similarity of
+if their SimHashes (64 bits over the different words) differ in at most three bits and the edit similarity of
 the normal forms (1 - edits / longer length, in characters) is 0.8 or more. Of each connected group
 the first occurrence stays, by document id and line number; the others are cut out.
 
@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +37,11 @@ from veilspan.llm.near_dedup import _unite
 LEAST, BITS, SIMILAR = 5, 3, 0.8
 #: Different lines of a cluster that one group compares with one another.
 TILE = 256
-CACHED = 400_000
+CACHED = 1_000_000
 SLICE_BYTES = 1 << 19
 LINE = "doc_id bigint, tag int, line int, one bigint, two bigint, simhash bigint"
 _KEPT, _DIGITS = re.compile(r"[^\W_]+"), re.compile(r"[0-9]+")
+_ENDS = ".,;:!?\"'()[]*#$%&-|"
 _EDGES = (0, 13, 26, 39, 52, 64)
 MASKS = tuple(sum(((1 << _EDGES[b + 1]) - (1 << _EDGES[b])) for b in pair) for pair in combinations(range(5), 2))
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
@@ -57,11 +59,12 @@ class LineWords(dict):
     """64-bit codes of normalised words, 0 for those of which nothing is left; one cache per worker."""
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        # str.split() knows more blanks than bytes.split(), so a word here may hold several there
-        plain = normal_line(word)
-        value = self[word] = (xxhash.xxh64_intdigest(plain.encode(), 3) | 1) if plain else 0
+        # the ends are taken off first, as most words are letters then; str.split() knows more blanks than
+        # bytes.split(), so a word here may hold several there
+        plain = word.decode().lower().strip(_ENDS)
+        if not plain.isalpha():
+            plain = normal_line(word)
+        value = self[word] = xxhash.xxh64_intdigest(plain, 3) if plain else 0
         return value
 
 
@@ -74,7 +77,7 @@ def line_rows(lines: list[bytes], least: int) -> tuple[np.ndarray, ...]:
         WORDS.clear()
     split = [line.split() for line in lines]
     counts = np.array([len(s) for s in split])
-    codes = np.fromiter(map(WORDS.__getitem__, (w for s in split for w in s)), np.uint64, int(counts.sum()))
+    codes = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))
     owner = np.repeat(np.arange(len(lines)), counts)[codes != 0]
     codes = codes[codes != 0]
     counts = np.bincount(owner, minlength=len(lines))
@@ -86,9 +89,14 @@ def line_rows(lines: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     n = np.diff(np.concatenate([begins, [len(owner)]]))
     place = (np.arange(len(owner)) - np.repeat(begins, n)).astype(np.uint64)
     mixed = [np.add.reduceat((codes ^ (place * f)) * (f + (place << np.uint64(1))), begins) for f in _FACTORS]
-    bits = np.unpackbits(codes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int32)
-    simhash = np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+    # words count once in a line; else frequent ones would make all long lines of a language alike
+    pair = codes * _FACTORS[0] ^ owner.astype(np.uint64) * _FACTORS[1]
+    once = np.sort(np.unique(pair, return_index=True)[1])  # by line, as owner ascends
+    features, of_line = codes[once], owner[once]
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(of_line) != 0]))
+    bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    simhash = np.packbits(ones * 2 > np.diff(np.concatenate([starts, [len(features)]]))[:, None], axis=1, bitorder="little").view(np.int64).ravel()
     return owner[begins], mixed[0] ^ (mixed[0] >> np.uint64(31)), mixed[1] ^ (mixed[1] >> np.uint64(31)), simhash
 
 
@@ -114,8 +122,11 @@ def _block_links(bits: int):
     def links(masked: np.ndarray, simhash: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begins = np.flatnonzero(np.concatenate([[True], (np.diff(masked[0]) != 0) | (np.diff(masked[1]) != 0)]))
         ends = np.concatenate([begins[1:], [len(simhash)]])
-        a, b = [], []
-        for x, y in zip(begins[ends - begins > 1].tolist(), ends[ends - begins > 1].tolist()):
+        two = begins[ends - begins == 2]  # most buckets that are shared at all
+        low, high = np.minimum(simhash[two], simhash[two + 1]), np.maximum(simhash[two], simhash[two + 1])
+        near = (np.bitwise_count(low ^ high) <= bits) & (low != high)
+        a, b = [high[near]], [low[near]]
+        for x, y in zip(begins[ends - begins > 2].tolist(), ends[ends - begins > 2].tolist()):
             points = np.unique(simhash[x:y])
             label = np.arange(len(points))
             for first in range(0, len(points), 512):
@@ -124,8 +135,7 @@ def _block_links(bits: int):
             linked = label != np.arange(len(points))
             a.append(points[linked])
             b.append(points[label[linked]])
-        none = [np.zeros(0, np.int64)]
-        return np.concatenate(a or none), np.concatenate(b or none)
+        return np.concatenate(a), np.concatenate(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)] * 2
@@ -156,8 +166,9 @@ def simhash_clusters(hashes: DataFrame, bits: int = BITS) -> DataFrame:
     return components(keyed.select("combo", "simhash").mapInArrow(_block_links(bits), "a bigint, b bigint"))
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Characters to insert, delete or replace: Myers' bit vectors, after equal ends are taken off."""
+def edit_distance(a: str, b: str, limit: int = 1 << 30) -> int:
+    """Characters to insert, delete or replace: Myers' bit vectors, after equal ends are taken off. Once the
+    rest of b cannot bring the distance down to ``limit``, some number above it is returned."""
     first = 0
     while first < min(len(a), len(b)) and a[first] == b[first]:
         first += 1
@@ -172,7 +183,9 @@ def edit_distance(a: str, b: str) -> int:
         at[c] = at.get(c, 0) | (1 << i)
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
     plus, minus, score = full, 0, len(a)
-    for c in b:
+    for left, c in zip(range(len(b), 0, -1), b):
+        if score - left > limit:
+            return limit + 1
         eq = at.get(c, 0)
         vertical = eq | minus
         across = (((eq & plus) + plus) ^ plus) | eq
@@ -185,7 +198,8 @@ def edit_distance(a: str, b: str) -> int:
 
 def alike(a: str, b: str, similar: float) -> bool:
     longer = max(len(a), len(b))
-    return abs(len(a) - len(b)) <= (1 - similar) * longer + 1e-9 and edit_distance(a, b) <= (1 - similar) * longer + 1e-9
+    most = int((1 - similar) * longer + 1e-9)
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
 def _verify(bits: int, similar: float):
@@ -233,16 +247,23 @@ def _first_pass():
                 part = slice(row, row + len(texts))
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id")[part], batch.column("tag")[part],
-                    *(pa.array([d[c] for d in done], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string()))),
-                    pa.array(later, pa.binary()), gone[part], batch.column("fetch")[part]],
+                    *_kept(done), pa.array(later, pa.binary()), gone[part], batch.column("fetch")[part]],
                     ["doc_id", "tag", "n_lines", "n_removed", "text", "later", "gone", "fetch"])
 
     return run
 
 
-def cut(text: bytes, gone: list[int]) -> tuple[int, int, str]:
+def cut(text: bytes, gone: list[int]) -> tuple[int, int, bytes]:
+    if not gone:
+        return text.count(b"\n") + 1, 0, text
     lines, out = text.split(b"\n"), set(gone)
-    return len(lines), len(out), b"\n".join(x for k, x in enumerate(lines) if k not in out).decode()
+    return len(lines), len(out), b"\n".join(x for k, x in enumerate(lines) if k not in out)
+
+
+def _kept(done: list[tuple]) -> list[pa.Array]:
+    """Columns n_lines, n_removed, text."""
+    return [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()),
+            pa.array([d[2] for d in done], pa.binary()).cast(pa.string())]
 
 
 def _last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +272,8 @@ def _last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, texts in text_slices(batch, "later", SLICE_BYTES):
             done = [cut(t, (gone[k].as_py() or []) + (more[k].as_py() or [])) for k, t in enumerate(texts, row)]
             part = slice(row, row + len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], batch.column("tag")[part], *(
-                pa.array([d[c] for d in done], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.string())))],
-                ["doc_id", "tag", "n_lines", "n_removed", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], batch.column("tag")[part], *_kept(done)],
+                                             ["doc_id", "tag", "n_lines", "n_removed", "text"])
 
 
 def _fetch_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
