@@ -200,15 +200,21 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
-    """docs with one row of each group: that of the smallest id. Ids of one row are kept by a semi join;
-    rows whose id is null or repeated are told apart by their fingerprint, only if there are any."""
-    rows = stored(near_groups(docs, words, bits), "near-groups")
+    """docs with one row of each group: that of the smallest id."""
+    return one_of_each(docs, near_groups(docs, words, bits), simhash(words))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, print_of) -> DataFrame:
+    """docs with one row of each root of groups (doc_id, fp, root): that of the smallest id. Ids of one
+    row are kept by a semi join; rows whose id is null or repeated are told apart by their fingerprint,
+    print_of(text), only if there are any."""
+    rows = stored(groups, "near-groups")
     kept = stored(rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("k")).select(
         F.col("root").alias("_root"), F.col("k.doc_id").alias("_id"), F.col("k.fp").alias("_fp")), "near-kept")
     odd = stored(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_odd")), "near-odd")
     out = docs.join(kept.join(odd, F.col("_id") == F.col("_odd"), "left_anti"), F.col("doc_id") == F.col("_id"), "left_semi")
     if not odd.isEmpty():
-        repeated = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").withColumn("_print", simhash(words)(F.col("text")))
+        repeated = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd")), "left_semi").withColumn("_print", print_of(F.col("text")))
         one = repeated.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_fp"))).groupBy("_root").agg(
             F.first(F.struct(*docs.columns)).alias("row"))
         out = out.unionByName(one.select("row.*"))
