@@ -1,7 +1,8 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, connected groups.
 
 A line is normalised to its words: lower case, letters and digits only, runs of digits as one 0. Lines
-of fewer than ``least`` words are left alone. Two lines are linked if their normal forms are equal, or
+of fewer than ``exact`` words are left alone, those of fewer than ``least`` are only merged with equal
+ones. Two lines are linked if their normal forms are equal, or
 if their SimHashes (64 bits over the different words) differ in at most three bits and the edit similarity of
 the normal forms (1 - edits / longer length, in characters) is 0.8 or more. Of each connected group
 the first occurrence stays, by document id and line number; the others are cut out.
@@ -72,7 +73,7 @@ WORDS = LineWords()
 
 
 def line_rows(lines: list[bytes], least: int) -> tuple[np.ndarray, ...]:
-    """(line, hash, second hash, simhash) of the lines that have enough words."""
+    """(line, hash, second hash, simhash, words) of the lines that have enough words."""
     if len(WORDS) > CACHED:
         WORDS.clear()
     split = [line.split() for line in lines]
@@ -84,7 +85,7 @@ def line_rows(lines: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     enough = counts[owner] >= least
     owner, codes = owner[enough], codes[enough]
     if not len(codes):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
     begins = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
     n = np.diff(np.concatenate([begins, [len(owner)]]))
     place = (np.arange(len(owner)) - np.repeat(begins, n)).astype(np.uint64)
@@ -97,21 +98,21 @@ def line_rows(lines: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
     simhash = np.packbits(ones * 2 > np.diff(np.concatenate([starts, [len(features)]]))[:, None], axis=1, bitorder="little").view(np.int64).ravel()
-    return owner[begins], mixed[0] ^ (mixed[0] >> np.uint64(31)), mixed[1] ^ (mixed[1] >> np.uint64(31)), simhash
+    return owner[begins], mixed[0] ^ (mixed[0] >> np.uint64(31)), mixed[1] ^ (mixed[1] >> np.uint64(31)), simhash, n
 
 
-def _lines(least: int):
+def _lines(least: int, exact: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, texts in text_slices(batch, "text", SLICE_BYTES):
                 split = [t.split(b"\n") for t in texts]
                 doc = np.repeat(np.arange(len(texts)), [len(s) for s in split])
                 number = np.concatenate([np.arange(len(s)) for s in split])
-                at, one, two, simhash = line_rows([line for s in split for line in s], least)
+                at, one, two, simhash, n = line_rows([line for s in split for line in s], exact)
                 rows = pa.array(doc[at] + row)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(number[at].astype(np.int32)),
-                    pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(simhash)], ["doc_id", "tag", "line", "one", "two", "simhash"])
+                    pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(simhash, mask=n < least)], ["doc_id", "tag", "line", "one", "two", "simhash"])
 
     return run
 
@@ -287,13 +288,14 @@ def _fetch_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()))], [*names, "words"])
 
 
-def line_dedup(docs: DataFrame, least: int = LEAST, bits: int = BITS, similar: float = SIMILAR) -> DataFrame:
-    """Per row of docs: doc_id, text (without the lines that are repeated), n_lines, n_removed."""
+def line_dedup(docs: DataFrame, least: int = LEAST, bits: int = BITS, similar: float = SIMILAR, exact: int = LEAST) -> DataFrame:
+    """Per row of docs: doc_id, text (without the lines that are repeated), n_lines, n_removed. With
+    ``exact`` = 1 every line that has a word is merged with its equals; shorter ones have no SimHash."""
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("tag"), "text")
-    lines = stored(keyed.mapInArrow(_lines(least), LINE), "lines")
+    lines = stored(keyed.mapInArrow(_lines(least, exact), LINE), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag", "line")
     kinds = stored(lines.groupBy("one", "two", "simhash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-kinds")
-    hashes = stored(kinds.groupBy("simhash").agg(F.count(F.lit(1)).alias("kinds")), "line-hashes")
+    hashes = stored(kinds.where("simhash is not null").groupBy("simhash").agg(F.count(F.lit(1)).alias("kinds")), "line-hashes")
     clusters = simhash_clusters(hashes.select("simhash"), bits).withColumnRenamed("node", "simhash")
     of = hashes.join(clusters, "simhash", "left").withColumn("cluster", F.coalesce("root", "simhash"))
     sizes = of.groupBy("cluster").agg(F.sum("kinds").alias("lines")).where("lines > 1")
