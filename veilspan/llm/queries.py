@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import table
+from veilspan.llm.common import BLANKS, table
 from veilspan.llm.decontaminate import contaminated
 from veilspan.llm.exact_dedup import exact_dedup
+from veilspan.llm.hard_negatives import hard_negatives, points
 from veilspan.llm.line_dedup import line_dedup
 from veilspan.llm.mixing import copies_per_row, plan_copies
 from veilspan.llm.near_dedup import near_groups
+from veilspan.llm.periodic_runs import longest_run, periodic_runs
 from veilspan.llm.quality import document_statistics, fit, scores
 from veilspan.llm.sharding import positions
 from veilspan.llm.substring_dedup import substring_dedup
@@ -87,6 +89,35 @@ def op10_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def planted_period(doc_id: Column, text: Column) -> Column:
+    """The text, but of every tenth checksum of doc_id with a tail that repeats, as its checksum says."""
+    check = F.crc32(doc_id.cast("string").cast("binary"))
+    words = F.array_remove(F.split(text, BLANKS), "")
+    n, g = F.size(words), F.floor(check / 10)
+    a = g % n
+    period = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, (a + 1).cast("int"), period), F.ceil((n - a) / period).cast("int")))
+    changed = F.concat(F.slice(words, F.lit(1), a.cast("int")), F.slice(tail, F.lit(1), (n - a).cast("int")))
+    return F.when((check % 10 == 0) & (n > 0), F.array_join(changed, " ")).otherwise(text)
+
+
+def op12_recompression_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", planted_period(F.col("doc_id"), F.col("text")).alias("text"))
+    top = longest_run(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return periodic_runs(docs).withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_str_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    finite = F.transform("embedding", lambda x: F.when(~F.isnan(x) & (F.abs(x) != float("inf")), F.floor(256 * x.cast("double"))))
+    rows = points(table(spark, sf_dir, "embeddings"), F.col("vec_id"), moved, finite)
+    return hard_negatives(rows, F.col("vec_id") % 50 == 0, positives=5, negatives=3, least=50, most=95)
+
+
 OP10_SQL = r"""
 with d as (select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents),
 g as (select text_sha256, min(doc_id) as keep_id, count(*) as group_size from d group by text_sha256)
@@ -103,4 +134,6 @@ QUERIES = {
     "op8_edit_decontamination": (op8_edit_decontamination, None),
     "op9_super_kmers": (op9_super_kmers, None),
     "op10_cuckoo_dedup": (op10_cuckoo_dedup, OP10_SQL),
+    "op12_recompression_runs": (op12_recompression_runs, None),
+    "op13_str_tree_negatives": (op13_str_tree_negatives, None),
 }
