@@ -18,11 +18,13 @@ from veilspan.llm.sharding import positions
 from veilspan.llm.substring_dedup import substring_dedup
 from veilspan.llm.token_counts import count_tokens
 from veilspan.llm.token_files import token_ids
+from veilspan.llm.toxicity import toxicity
 
 SHARDS = 40
 END_ID = 1
 CONTEXT_TOKENS = 4096
 GOOD = 0.7
+TOXIC = 0.5
 
 
 def held_out() -> Column:
@@ -89,6 +91,13 @@ def op10_cuckoo_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op11_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept_away = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~kept_away).select("doc_id", F.col("toxic").alias("label"))
+    scored = toxicity(table(spark, sf_dir, "documents"), labels, {"doc_id": F.col("doc_id"), "held_out": kept_away})
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC).cast("int"))
+
+
 def planted_period(doc_id: Column, text: Column) -> Column:
     """The text, but of every tenth checksum of doc_id with a tail that repeats, as its checksum says."""
     check = F.crc32(doc_id.cast("string").cast("binary"))
@@ -134,6 +143,7 @@ QUERIES = {
     "op8_edit_decontamination": (op8_edit_decontamination, None),
     "op9_super_kmers": (op9_super_kmers, None),
     "op10_cuckoo_dedup": (op10_cuckoo_dedup, OP10_SQL),
+    "op11_boosted_toxicity": (op11_boosted_toxicity, None),
     "op12_recompression_runs": (op12_recompression_runs, None),
     "op13_str_tree_negatives": (op13_str_tree_negatives, None),
 }
