@@ -43,7 +43,7 @@ SLAB_COORDINATES = 4
 #: Anchors of one pass, and anchors whose bounds are computed at once.
 CHUNK, AT_ONCE = 16_384, 256
 EXACT = 2 ** 53
-INDEX = ("block bigint, ids array<bigint>, labels array<bigint>, vectors array<bigint>, leaf_low array<bigint>, leaf_high array<bigint>, "
+INDEX = ("block bigint, leaf bigint, ids array<bigint>, labels array<bigint>, vectors array<bigint>, leaf_low array<bigint>, leaf_high array<bigint>, "
          "leaf_labels array<bigint>")
 
 
@@ -137,6 +137,8 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, int, int]:
     parts = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     block = F.xxhash64("tile", F.pmod(F.xxhash64("vec_id", "v"), "parts"))
 
+    leaf = LEAF
+
     def pack(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         ids, labels, v = group.column("vec_id").to_numpy(), group.column("label").to_numpy(), matrix(group.column("v").combine_chunks(), dims)
@@ -144,12 +146,12 @@ def build_index(rows: DataFrame) -> tuple[DataFrame, int, int]:
         spread = np.where(rows_.max(0) > rows_.min(0), rows_.astype(float).var(0), -1)
         spread[0] = np.inf if spread[0] >= 0 else -1
         axes = [int(k) for k in np.argsort(-spread, kind="stable")[:SLAB_COORDINATES] if spread[k] >= 0]
-        by = str_order(rows_, axes, LEAF)
-        at = np.arange(0, len(by), LEAF)
+        by = str_order(rows_, axes, leaf)
+        at = np.arange(0, len(by), leaf)
         low, high = np.minimum.reduceat(rows_[by], at), np.maximum.reduceat(rows_[by], at)
-        row = {"block": group.column("block")[0].as_py(), "ids": ids[by], "labels": labels[by], "vectors": v[by].ravel(),
+        row = {"block": group.column("block")[0].as_py(), "leaf": leaf, "ids": ids[by], "labels": labels[by], "vectors": v[by].ravel(),
                "leaf_low": low[:, 1:].ravel(), "leaf_high": high[:, 1:].ravel(), "leaf_labels": np.column_stack([low[:, 0], high[:, 0]]).ravel()}
-        return pa.table({k: pa.array([x], pa.int64() if k == "block" else pa.list_(pa.int64())) for k, x in row.items()})
+        return pa.table({k: pa.array([x], pa.int64() if k in ("block", "leaf") else pa.list_(pa.int64())) for k, x in row.items()})
 
     packed = tiled.join(F.broadcast(parts), "tile").select("vec_id", "label", "v", block.alias("block")).groupBy("block").applyInArrow(pack, INDEX)
     return stored(packed, "r-tree"), dims, int(most)
@@ -168,7 +170,8 @@ class Forest:
             first = self.blocks + len(leaves)
             leaves += [(low[j], high[j], owned[j, 0], owned[j, 1]) for j in range(len(low))]
             self.children.append(np.arange(first, self.blocks + len(leaves)))
-            self.rows += [(ids[j:j + LEAF], labels[j:j + LEAF], v[j:j + LEAF]) for j in range(0, len(ids), LEAF)]
+            leaf = batch.column("leaf")[k].as_py()
+            self.rows += [(ids[j:j + leaf], labels[j:j + leaf], v[j:j + leaf]) for j in range(0, len(ids), leaf)]
         low, high, *labels = zip(*blocks, *leaves)
         self.low, self.high = np.array(low).astype(number), np.array(high).astype(number)
         self.label_low, self.label_high = (np.array(x) for x in labels)
