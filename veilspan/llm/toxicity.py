@@ -68,7 +68,7 @@ def normal_forms(word: str) -> tuple[str, str]:
         b -= 1
     inner = low[a:b]
     if inner.isalpha():
-        return inner, STRETCHED.sub(r"\1", inner)
+        return inner, STRETCHED.sub(r"\1", inner) if STRETCHED.search(inner) else inner
     if not any(c.isalpha() for c in low):
         return inner, inner
     read = "".join(c for c in low[a:].translate(LOOKALIKES) if c.isalpha())
@@ -128,8 +128,11 @@ class Words:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon, self.codes = lexicon, {}
+        self.heads = {t[:BEGINNINGS[0]] for t in lexicon}
 
     def weight(self, form: str) -> float:
+        if len(form) >= BEGINNINGS[0] and form[:BEGINNINGS[0]] not in self.heads:
+            return 0.0  # all its terms begin so
         return max((self.lexicon.get(t, 0.0) for t in terms(form)), default=0.0)
 
     def code(self, raw: bytes) -> int:
