@@ -15,7 +15,7 @@ QUICK = (
     "build_dictionary", "common_words", "decode_files", "checksums", "ip_classes", "dictionary_occurrences", "dictionary_join",
     "box_union", "box_merge", "box_best", "box_ocr", "windowed_counts", "sliding_counts", "session_counts", "stream_settled",
     "long_secrets", "dense_text", "wrapped_targets", "type_overrides", "infra_vocabulary", "unchanged_replacements", "top_findings",
-    "box_totals", "char_positions", "own_events", "paused_events", "expired_secrets", "stream_counts",
+    "box_totals", "char_positions", "own_events", "paused_events", "expired_secrets", "expired_out_of_order", "stream_counts", "phrase_occurrences", "phrase_join",
 )
 
 
@@ -48,7 +48,7 @@ def test_every_sql_has_a_query():
 
 def test_lone_secret_expires(spark, tmp_path):
     """Scheduled, cleared after the time; cancelled by another text; kept when asked to."""
-    from veilspan.streaming.watch import SECRET_EVENT, expire_secrets
+    from veilspan.streaming.watch import SECRET_EVENT, expire_secrets, rocksdb
 
     folder = str(tmp_path / "in")
     rows = [
@@ -60,7 +60,8 @@ def test_lone_secret_expires(spark, tmp_path):
         "source_id", F.to_timestamp("t").alias("ts"), "h", "decision").coalesce(1).write.parquet(folder)
     stream = spark.readStream.schema("source_id string, ts timestamp, h string, decision string").parquet(folder)
     out = str(tmp_path / "out")
-    expire_secrets(stream).writeStream.format("parquet").option("path", out).option(
-        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(spark):
+        expire_secrets(stream).writeStream.format("parquet").option("path", out).option(
+            "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
     got = {(r["source_id"], r["kind"]) for r in spark.read.schema(SECRET_EVENT).parquet(out).collect()}
     assert got == {("a", "scheduled"), ("a", "clear"), ("b", "scheduled"), ("c", "scheduled")}

@@ -14,9 +14,11 @@ from veilspan.lists import Context
 from veilspan.operators import boxes as bx
 from veilspan.operators import modes, report
 from veilspan.operators import surrogates as su
+from veilspan.operators.detect import find_spans
 from veilspan.plans.base import FOUND, KEY, PROJECT, documents, query, spans_of, table
 from veilspan.plans.detection import IBAN
 from veilspan.sources.state import State, decrypt_rows, encrypt_rows
+from veilspan.sources.state_log import StateLog
 from veilspan.streaming import watch as st
 
 # ---------------------------------------------------------------- dictionary joins
@@ -321,13 +323,25 @@ def box_document_text(spark, sf):
 
 
 # ---------------------------------------------------------------- streams
-def _stream(spark, rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a file stream in the folder for checkpoints (a stand-in for a topic)."""
+FILES, FILES_AT_ONCE = 16, 4
+
+
+def _stream(spark, rows: DataFrame, name: str, last: DataFrame | None = None, files: int | None = FILES, at_once: int = FILES_AT_ONCE) -> DataFrame:
+    """The rows as a file stream in the folder for checkpoints (a stand-in for a topic): files in order of
+    time (without ``files`` as the rows lie), several micro-batches. ``last`` rows come in a file of their own behind the others."""
     rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
-    root = shared_folder(spark)
-    folder = f"{root}/{name}-{uuid.uuid4().hex}"
-    rows.write.mode("overwrite").parquet(folder)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(folder)
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = []
+    for frame in (rows if files is None else rows.repartitionByRange(files, "ts"), last):
+        if frame is not None:
+            frame.withColumn("ts", F.col("ts").cast("timestamp")).write.mode("append").parquet(folder)
+            names = (s.getPath().getName() for s in fs.listStatus(path))
+            parts += sorted(n for n in names if n.startswith("part-") and n not in parts)
+    for k, part in enumerate(parts):  # a file source goes by their time, which tasks side by side leave to chance
+        fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(path, part), 1_700_000_000_000 + 1000 * k, -1)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(folder)
 
 
 def _finished(spark, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -373,7 +387,7 @@ def session_counts(spark, sf):
 select time_bucket(interval '1 hour', ts) as window_start, event_type as type, count(*) as n from events group by all""")
 def stream_counts(spark, sf):
     """The windowed counts as a stream over files, run until all rows are taken."""
-    stream = _stream(spark, _events(spark, sf), "events")
+    stream = _stream(spark, _events(spark, sf), "events", at_once=FILES)
     return _finished(spark, st.windowed_counts(stream, "1 hour"), "stream_counts", "complete").select(
         F.col("window_start").cast("timestamp_ntz").alias("window_start"), "type", "n")
 
@@ -396,7 +410,7 @@ def watch_decisions(spark, sf):
 
 @query("stream_decisions", f"select {_DECISION} as decision, count(*) as n from events group by 1")
 def stream_decisions(spark, sf):
-    stream = _stream(spark, _watch_events(spark, sf), "watch")
+    stream = _stream(spark, _watch_events(spark, sf), "watch", at_once=FILES)
     done = _finished(spark, st.watch(stream).select("event_id", "decision"), "stream_decisions")
     return done.groupBy("decision").agg(F.count("*").alias("n"))
 
@@ -408,12 +422,17 @@ select 'u' || cast(user_id as varchar) as source_id, max(ts) as ts, max_by(""" +
 def stream_settled(spark, sf):
     """As a stream over files: sessions close when the watermark has passed them, so later rows follow."""
     events = _watch_events(spark, sf)
-    end = events.agg(F.max("ts")).first()[0]
-    last = events.limit(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit("end").alias("source_id"), (F.lit(end) + F.expr("interval 1 day")).alias("ts"), F.lit("").alias("text"))
-    stream = _stream(spark, events.unionByName(last.withColumn("event_id", F.col("event_id").cast(events.schema["event_id"].dataType))), "settled")
+    last = events.agg(F.max("event_id").alias("event_id"), F.lit("end").alias("source_id"), (F.max("ts") + F.expr("interval 1 day")).alias("ts"), F.lit("").alias("text"))
+    stream = _stream(spark, events, "settled", last.coalesce(1))
     return _finished(spark, st.settle(stream, "30 seconds"), "stream_settled").where("source_id <> 'end'").select("source_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "text")
 
 
+def _secrets(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), "ts", F.sha2(F.col("event_id").cast("string"), 256).alias("h"),
+        F.when(F.col("event_id") % 3 == 0, "lone_secret").otherwise("none").alias("decision"))
+
+
 @query("expired_secrets", """
 with e as (select user_id, ts, event_id % 3 = 0 as secret, lead(ts) over (partition by user_id order by ts) as nxt, max(ts) over () as now from events)
 select kind, count(*) as n from (
@@ -422,6 +441,56 @@ select kind, count(*) as n from (
 def expired_secrets(spark, sf):
     """Custom state with event-time timers; each secret is a text of its own. A last text is cleared when the
     watermark (the newest time) has passed its deadline."""
-    rows = table(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("source_id"), "ts", F.sha2(F.col("event_id").cast("string"), 256).alias("h"),
-                                             F.when(F.col("event_id") % 3 == 0, "lone_secret").otherwise("none").alias("decision"))
-    return _finished(spark, st.expire_secrets(_stream(spark, rows, "secrets")), "expired").groupBy("kind").agg(F.count("*").alias("n"))
+    rows = _secrets(spark, sf)
+    with st.rocksdb(spark):
+        return _finished(spark, st.expire_secrets(_stream(spark, rows, "secrets")), "expired").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("expired_out_of_order", """
+with e as (select user_id, ts, event_id, event_id % 3 = 0 as secret, lead(ts) over (partition by user_id order by ts) as nxt from events)
+select 'u' || cast(user_id as varchar) as source_id, sha256(cast(event_id as varchar)) as h, 'scheduled' as kind from e where secret
+union all select 'u' || cast(user_id as varchar), sha256(cast(event_id as varchar)), 'clear' from e where secret and (nxt is null or nxt >= ts + interval '60 seconds')""")
+def expired_out_of_order(spark, sf):
+    """The same with files that come in an order by chance, one per micro-batch: rows wait until the watermark has passed them."""
+    rows = _secrets(spark, sf)
+    span = rows.agg(F.ceil((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1_000_000)).first()[0] or 0
+    mixed = rows.withColumn("ts", F.col("ts").cast("timestamp")).repartition(4, F.col("h"))
+    last = rows.agg(F.lit("end").alias("source_id"), (F.max("ts") + F.make_interval(secs=F.lit(2 * span + 3600))).alias("ts"), F.lit("").alias("h"), F.lit("none").alias("decision"))
+    stream = _stream(spark, mixed, "mixed", last.coalesce(1), files=None, at_once=1)
+    with st.rocksdb(spark):
+        return _finished(spark, st.expire_secrets(stream, late=f"{span} seconds"), "mixed").where("source_id <> 'end'").select("source_id", "h", "kind")
+
+
+# ---------------------------------------------------------------- continuous pseudonymisation
+_MAIL = "'mail user' || cast(user_id as varchar) || '@zeta-test.de'"
+
+
+def _run_mail_stream(spark, sf, root: str) -> None:
+    events = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("source_id"), "ts", F.concat(F.lit("mail user"), F.col("user_id").cast("string"), F.lit("@zeta-test.de")).alias("text"))
+    stream = _stream(spark, events, "mails", files=2, at_once=1)
+    ctx = Context()
+    for attempt in range(2):
+        found = find_spans(stream, detectors=("email",), ctx=ctx).withColumns(
+            {"h": tx.text_hash(F.col("text")), "auto_spans": F.col("spans"), "decision": F.lit("auto")})
+        st.pseudonymize_stream(found, PROJECT, KEY, f"{root}/state", f"{root}/out", f"{root}/history", f"{root}/check", ctx).awaitTermination()
+        if not attempt:  # as if the job had died before it could note that the last batch is done
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/check/commits")
+            fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+            last = max((s.getPath().getName() for s in fs.listStatus(path) if s.getPath().getName().isdigit()), key=int)
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(path, last), False)
+
+
+@query("stream_usage", f"""
+select 'EMAIL' as type, substr({_MAIL}, 6) as original, count(*) as count, min(ts) as first_seen, max(ts) as last_seen, count(*) as outputs, count(*) as entries
+from events group by user_id""")
+def stream_usage(spark, sf):
+    """Usage after a stream whose last batch ran twice: state, outputs and history count each text once."""
+    root = f"{shared_folder(spark)}/mails-{uuid.uuid4().hex}"
+    _run_mail_stream(spark, sf, root)
+    state = StateLog(spark, f"{root}/state").load()
+    original = F.col("replacements")[0]["original"].alias("original")
+    outputs = spark.read.parquet(f"{root}/out").select(original).groupBy("original").agg(F.count(F.lit(1)).alias("outputs"))
+    entries = spark.read.parquet(f"{root}/history").select(original).groupBy("original").agg(F.count(F.lit(1)).alias("entries"))
+    return state.mappings.where("type = 'EMAIL'").join(outputs, "original").join(entries, "original").select(
+        "type", "original", "count", F.col("first_seen").cast("timestamp_ntz").alias("first_seen"), F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "outputs", "entries")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +109,49 @@ class State:
             for n, schema in STATE_SCHEMAS.items()])
 
 
+def create_project(spark: SparkSession, path: str, project: str) -> bool:
+    """Take the name of a project in the catalogue below ``path``: False if its slug is taken already.
+
+    The marker is made by the file system's create without overwrite, which one of many writers wins
+    (on stores without it, keep the catalogue in a table with a unique key)."""
+    to = spark._jvm.org.apache.hadoop.fs.Path
+    fs, _ = _file_system(spark, path)
+    fs.mkdirs(to(f"{path}/projects"))
+    try:
+        out = fs.create(_marker(spark, path, project), False)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        return False
+    out.write(bytearray(project.encode()))
+    out.close()
+    return True
+
+
+def project_exists(spark: SparkSession, path: str, project: str) -> bool:
+    return _file_system(spark, path)[0].exists(_marker(spark, path, project))
+
+
+def delete_project(spark: SparkSession, path: str, project: str) -> None:
+    """Give the name free; the rows go with ``State.drop``."""
+    _file_system(spark, path)[0].delete(_marker(spark, path, project), False)
+
+
+def catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(project, slug, created) of the names that are taken."""
+    folder = f"{path}/projects"
+    if not _file_system(spark, folder)[0].exists(spark._jvm.org.apache.hadoop.fs.Path(folder)):
+        return spark.createDataFrame([], "project string, slug string, created timestamp")
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.col("content").cast("string").alias("project"), F.regexp_extract("path", r"([^/]+)\.project$", 1).alias("slug"),
+                        F.col("modificationTime").alias("created"))
+
+
+def _marker(spark: SparkSession, path: str, project: str):
+    slug = spark.range(1).select(tx.slugify(F.lit(project))).first()[0]
+    return spark._jvm.org.apache.hadoop.fs.Path(f"{path}/projects/{slug}.project")
+
+
 def encrypt_rows(rows: DataFrame, key: Column, aad: str = "veilspan-state") -> DataFrame:
     """(kind, payload): AES-256-GCM per row with a random nonce; the key is 32 bytes from the caller."""
     return rows.select("kind", F.base64(F.aes_encrypt(
