@@ -15,7 +15,7 @@ QUICK = (
     "build_dictionary", "common_words", "decode_files", "checksums", "ip_classes", "dictionary_occurrences", "dictionary_join",
     "box_union", "box_merge", "box_best", "box_ocr", "windowed_counts", "sliding_counts", "session_counts", "stream_settled",
     "long_secrets", "dense_text", "wrapped_targets", "type_overrides", "infra_vocabulary", "unchanged_replacements", "top_findings",
-    "box_totals", "char_positions", "own_events", "paused_events", "expired_secrets", "expired_out_of_order", "stream_counts", "phrase_occurrences", "phrase_join",
+    "box_totals", "char_positions", "own_events", "paused_events", "expired_secrets", "expired_out_of_order", "stream_counts", "phrase_occurrences", "phrase_join", "sql_find_spans", "failing_detectors",
 )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.schema import FINDING, FINDINGS
@@ -23,6 +23,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def attempt(value: Column) -> Column:
+    """The value, or NULL for a row on which it throws. (Spark has no such function for any expression; this
+    is the one inside its ``try_`` functions.)"""
+    jvm = SparkSession.active()._jvm
+    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
+    return type(value)(utils.column(jvm.org.apache.spark.sql.catalyst.expressions.TryEval(utils.expression(value._jc))))
+
+
 def empty(ddl: str) -> Column:
     return F.array().cast(ddl)
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import ip
-from veilspan.functions.regex import empty, join_findings, let, one_of
+from veilspan.functions.regex import attempt, empty, join_findings, let, one_of
 from veilspan.lists import Context
 from veilspan.operators import detectors as registry
+from veilspan.operators.detectors.identity import invalid_terms
 from veilspan.operators.spans import resolve
 from veilspan.schema import FINDINGS, SECRET_TYPES
 
@@ -60,13 +61,46 @@ def _expression(detector, text: Column, ctx: Context) -> Column:
     return _built[key]
 
 
+def _guarded(detector, text: Column, ctx: Context) -> Column | None:
+    """Findings of a detector that may fail: NULL for a text on which it throws; None if it cannot even
+    be built."""
+    try:
+        return attempt(_expression(detector, text, ctx))
+    except Exception:  # what a user's detector raises is not known beforehand
+        return None
+
+
 def raw_spans(text: Column, ctx: Context, enabled=None, skip=()) -> Column:
-    """All findings of the chosen detectors, overlapping, in detector order."""
-    chosen = registry.selected(enabled, skip)
-    found = join_findings(*[_expression(d, text, ctx) for d in chosen]) if chosen else empty(FINDINGS)
+    """All findings of the chosen detectors, overlapping, in detector order. A guarded detector that
+    fails on a text has none there."""
+    parts = []
+    for d in registry.selected(enabled, skip):
+        part = _guarded(d, text, ctx) if d.guarded else _expression(d, text, ctx)
+        if part is not None:
+            parts.append(F.coalesce(part, empty(FINDINGS)) if d.guarded else part)
+    found = join_findings(*parts) if parts else empty(FINDINGS)
     return found if ctx.max_chars is None else F.when(F.length(text) <= ctx.max_chars, found).otherwise(empty(FINDINGS))
 
 
+def chosen_spans(text: Column, ctx: Context, enabled=None, skip=()) -> Column:
+    """The disjoint spans of a text, by start."""
+    return resolve(keep_findings(raw_spans(text, ctx, enabled, skip), ctx))
+
+
+def failures(text: Column, ctx: Context, enabled=None, skip=()) -> Column | None:
+    """ARRAY of a warning per detector that fails on the text, and per term that is no valid pattern; None
+    if none can."""
+    chosen, warnings = registry.selected(enabled, skip), []
+    for d in chosen:
+        if d.guarded:
+            part = _guarded(d, text, ctx)
+            warning = F.lit(f"detector {d.id} failed, skipped")
+            warnings.append(warning if part is None else F.when(text.isNotNull() & part.isNull(), warning))
+    if any(d.id == "custom" for d in chosen):
+        warnings += [F.lit(f"term is no valid pattern, skipped: {term}") for term in invalid_terms(ctx)]
+    return F.array_compact(F.array(*warnings)) if warnings else None
+
+
 def find_spans(docs: DataFrame, detectors=None, skip=(), ctx: Context | None = None, text: str = "text",
                extra_spans: str | None = None) -> DataFrame:
     """``docs`` plus ``spans`` (disjoint, by start) and ``warnings``.
@@ -80,9 +114,10 @@ def find_spans(docs: DataFrame, detectors=None, skip=(), ctx: Context | None = N
     if extra_spans:
         found = F.concat(found, F.coalesce(F.col(extra_spans), empty(FINDINGS)))
     warning = F.concat(F.lit("text too large ("), F.length(col).cast("string"), F.lit(" chars), skipped"))
+    failed = failures(col, ctx, detectors, skip)
     return docs.withColumn("_raw", found).withColumn("spans", resolve(keep_findings(F.col("_raw"), ctx))).withColumn(
-        "warnings", F.when(F.length(col) > (ctx.max_chars or 1 << 31), F.array(warning)).otherwise(empty("array<string>"))
-    ).drop("_raw")
+        "warnings", F.when(F.length(col) > (ctx.max_chars or 1 << 31), F.array(warning)).otherwise(
+            empty("array<string>") if failed is None else failed)).drop("_raw")
 
 
 def explode_spans(found: DataFrame, *keep: str, spans: str = "spans") -> DataFrame:

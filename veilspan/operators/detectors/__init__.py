@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from veilspan.lists import Context
 from veilspan.operators.detectors import identity, links, names, network, secrets
+from veilspan.schema import FINDINGS
+
+FOUND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("text", pa.string()), ("detector", pa.string()),
+                            ("priority", pa.int32()), ("meta", pa.map_(pa.string(), pa.string()))]))
 
 
 @dataclass(frozen=True)
@@ -18,6 +24,7 @@ class Detector:
     priority: int
     expr: Callable[[Column, Context], Column]
     default: bool = True
+    guarded: bool = False  # may throw: that is a warning for the text then, and the other detectors go on
 
 
 # The order decides between findings of equal priority, length and start.
@@ -56,6 +63,28 @@ def register(detector: Detector) -> None:
     _registry[detector.id] = detector
 
 
+def python_detector(detector_id: str, types: tuple, priority: int, find: Callable[[str], list], default: bool = True) -> Detector:
+    """A guarded detector from a Python function text -> [(start, end, type)], which runs on Arrow batches.
+    An exception, or a finding outside the text, is a failure for that text."""
+    def expr(text: Column, _ctx: Context) -> Column:
+        def of_batch(texts: pa.Array) -> pa.Array:
+            return pa.array([_found(find, t, detector_id, priority) for t in texts.to_pylist()], FOUND)
+
+        return F.arrow_udf(of_batch, FINDINGS)(text)
+
+    return Detector(detector_id, types, priority, expr, default, guarded=True)
+
+
+def _found(find: Callable[[str], list], text: str | None, detector_id: str, priority: int) -> list[dict] | None:
+    try:
+        rows = [] if text is None else sorted(find(text))
+        if any(not 0 <= start < end <= len(text) for start, end, _ in rows):
+            return None
+        return [{"start": s, "end": e, "type": t, "text": text[s:e], "detector": detector_id, "priority": priority, "meta": []} for s, e, t in rows]
+    except Exception:  # what a user's function raises is not known beforehand
+        return None
+
+
 def unregister(detector_id: str) -> None:
     original = {d.id: d for d in BUILTIN}.get(detector_id)
     if original is None:

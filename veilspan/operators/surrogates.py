@@ -429,6 +429,17 @@ def _claim_tokens(rest: DataFrame, candidate, taken: DataFrame) -> DataFrame:
 _built: dict[tuple, Column] = {}
 
 
+def _own_type(ctx: Context, types: tuple) -> list[str]:
+    """Types at hand whose surrogates the context makes."""
+    return [t for t in types if t in ctx.generators]
+
+
+def own_surrogate(key: Column, ctx: Context, attempt: int, types: tuple) -> Column | None:
+    """The values of the context's generators (columns ``type``, ``original``, ``as_type``)."""
+    typ = F.coalesce(F.nullif(F.col("as_type"), F.lit("")), F.col("type"))
+    return _choose(typ, [((t,), lambda t=t: ctx.generators[t](F.col("original"), key, attempt).cast("string")) for t in _own_type(ctx, types)])
+
+
 def _when_built(test: Column, value: Column | None, ddl: str) -> Column:
     return F.lit(None).cast(ddl) if value is None else F.when(test, value)
 
@@ -457,10 +468,12 @@ def assign(originals: DataFrame, state: State, project: str, key: Column, ctx: C
     # the types at hand (a handful) decide which branches are built
     types = tuple(sorted({t for r in new.select("type", "as_type").distinct().collect() for t in r if t}))
 
+    own_types = _own_type(ctx, types)
+    is_own = F.coalesce(F.nullif(F.col("as_type"), F.lit("")), F.col("type")).isin(*own_types) if own_types else F.lit(False)
     fixed = F.nullif(F.col("replacement"), F.lit(""))
     one_word = ~F.contains(fixed, F.lit(" ")) & ~F.contains(F.col("original"), F.lit(" "))
     prepared = cut(spread(new, "original").withColumn("_fixed", F.when(one_word, tx.transfer_case(F.col("original"), fixed)).otherwise(fixed))
-                   .withColumn("parts", _when_built(F.col("_fixed").isNull(), _session_cached(parts_of, key, ctx, types), PARTS)))
+                   .withColumn("parts", _when_built(F.col("_fixed").isNull() & ~is_own, _session_cached(parts_of, key, ctx, types), PARTS)))
 
     # words of the compositions, and the words they get
     pieces = prepared.where(F.col("parts").isNotNull()).select("type", "original", F.posexplode("parts").alias("pos", "p")).select(
@@ -489,8 +502,19 @@ def assign(originals: DataFrame, state: State, project: str, key: Column, ctx: C
         "type", "original", F.array_join(F.transform("l", lambda x: x["_t"]), "").alias("_composed"))
 
     candidates = prepared.join(composed, ["type", "original"], "left").withColumn("_base", F.coalesce("_fixed", "_composed"))
-    number = _session_cached(number_surrogate, key, ctx, 0, types)
-    pending = cut(spread(candidates, "original").withColumn("_first", _when_built(F.col("_base").isNull(), number, "string")))
+
+    def number_of(n: int) -> Column | None:
+        number = _session_cached(number_surrogate, key, ctx, n, types)
+        if not own_types:
+            return number
+        own = own_surrogate(key, ctx, n, types)
+        return own if number is None else F.when(is_own, own).otherwise(number)
+
+    pending = cut(spread(candidates, "original").withColumn("_first", _when_built(F.col("_base").isNull(), number_of(0), "string")))
+    if own_types:  # a generator may pass its first numbers; the last resort is the type and a hash
+        resort = F.concat(F.lower("type"), F.lit("-"), F.substring(tx.keyed_hash(key, F.col("type"), F.col("original")), 1, 12))
+        values = [own_surrogate(key, ctx, n, types) for n in range(1, ATTEMPTS)]
+        pending = pending.withColumn("_first", F.when(is_own & F.col("_base").isNull(), F.coalesce("_first", *values, resort)).otherwise(F.col("_first")))
     pending = pending.where(F.regexp_like("original", F.lit("[A-Za-z0-9]")) | F.col("_base").isNotNull()).where(
         F.coalesce("_base", "_first").isNotNull() & (F.col("_base").isNull() | (F.col("_base") != F.col("original"))))
 
@@ -498,9 +522,9 @@ def assign(originals: DataFrame, state: State, project: str, key: Column, ctx: C
 
     def candidate(n: int) -> Column:
         tail = F.substring(tx.keyed_hash(key, F.col("type"), F.col("original")), 1, min(4 + 4 * max(n - ATTEMPTS, 0), 32))
-        number = F.col("_first") if n == 0 else _session_cached(number_surrogate, key, ctx, min(n, ATTEMPTS - 1), types)
+        number = F.col("_first") if n == 0 else number_of(min(n, ATTEMPTS - 1))
         number = F.lit(None).cast("string") if number is None else number
-        number = F.when(number != F.col("original"), number) if n < ATTEMPTS else F.concat(number, F.lit("-"), tail)
+        number = F.when(number != F.col("original"), number) if n < ATTEMPTS else F.concat(F.coalesce(number, "_first"), F.lit("-"), tail)
         based = F.col("_base") if n == 0 else F.concat("_base", F.lit("-"), F.substring(
             tx.keyed_hash(key, F.col("type"), F.col("original")), 1, min(4 * n, 32)))
         return F.when(F.col("_fixed").isNotNull(), F.col("_fixed")).when(F.col("_base").isNotNull(), based).otherwise(number)
