@@ -15,7 +15,7 @@ from veilspan.llm import line_dedup as lines
 from veilspan.llm import near_dedup as near
 from veilspan.llm import substring_dedup as sub
 from veilspan.llm.common import WORD
-from veilspan.llm.decontaminate import best_match, contaminated, decontaminate, usable_items
+from veilspan.llm.decontaminate import contaminated, decontaminate, usable_items
 from veilspan.llm.exact_dedup import CuckooFilter, bucket_count, digests, empty_index, exact_dedup, update_index
 from veilspan.llm.graph import components
 from veilspan.llm.mixing import copies_per_row, mix, plan_copies
@@ -261,7 +261,7 @@ def test_sharding(spark, odd, odd_rows, empty, tmp_path):
     sums = [r[0] for r in positions(even, 7).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
     assert len(sums) == 7 and max(sums) <= 1.01 * min(sums)
     placed, slot_map = shard(odd, 4)
-    assert set(odd.columns) <= set(placed.columns) and dict(placed.dtypes)["shard"] == "int" and placed.count() == len(odd_rows)
+    assert placed.columns == [*odd.columns, "virtual_slot", "shard_2"] and dict(placed.dtypes)["shard_2"] == "int" and placed.count() == len(odd_rows)
     slot_map.save(spark, str(tmp_path))
     assert SlotMap.load(spark, str(tmp_path), 1) == slot_map
     assert positions(empty, 3).count() == 0 and shard(empty, 3)[0].count() == 0
@@ -279,6 +279,18 @@ def test_rebalancing_only_fills_the_new_shard(spark):
     assert max(sums.values()) <= 1.05 * min(sums.values())
 
 
+def test_a_stored_map_is_edited(spark, tmp_path):
+    """A later job with more shards loads the map and edits it: only the new shards take rows."""
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', cast(id % 300 as int)) as text")
+    at = lambda shards: {r.doc_id: r.shard for r in shard(docs, shards, root=f"{tmp_path}/map")[0].collect()}
+    five, again, seven = at(5), at(5), at(7)
+    assert five == again and {s for i, s in seven.items() if s != five[i]} == {5, 6}
+    assert SlotMap.load(spark, f"{tmp_path}/map", 3).shards == 7 and SlotMap.load(spark, f"{tmp_path}/map", 1).shards == 5
+    assert {r.doc_id: r.shard for r in positions(docs, 7, root=f"{tmp_path}/map").collect()} == seven
+    with pytest.raises(ValueError):
+        at(6)
+
+
 # 7 token counts -----------------------------------------------------------------------------------
 def test_token_counts(spark, odd, odd_rows, empty):
     import sentencepiece
@@ -293,6 +305,17 @@ def test_token_counts(spark, odd, odd_rows, empty):
 
 
 # 8 decontamination --------------------------------------------------------------------------------
+def nearest_stretch(item, words):
+    """Smallest number of word edits between the item and any stretch of the text, row by row."""
+    above = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        row = [i]
+        for j, y in enumerate(words, 1):
+            row.append(min(above[j - 1] + (x != y), above[j] + 1, row[-1] + 1))
+        above = row
+    return min(above)
+
+
 def test_decontamination(spark, odd, empty):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("klmnop") for _ in range(5))
@@ -306,7 +329,7 @@ def test_decontamination(spark, odd, empty):
         return item
 
     table, doc = [], 0
-    for item in items[:5]:
+    for item in items:
         for n in (0, 1, len(item) // 5, len(item) // 5 + 3, len(item) // 2):
             words = [word() for _ in range(rng.randint(0, 80))] + edited(item, n) + [word() for _ in range(rng.randint(0, 80))]
             table.append((doc, " ".join(w.upper() + "!" if n % 2 else w for w in words)))
@@ -316,9 +339,9 @@ def test_decontamination(spark, odd, empty):
     want = []
     for i, t in table + [(None, table[0][1])]:
         words = [w.lower().strip("!") for w in t.split()]
-        for k, item in enumerate(items[:5]):
-            d = best_match([hash(w) for w in item], [hash(w) for w in words])[0]
-            if d <= len(item) // 5:
+        for k, item in enumerate(items):
+            d = nearest_stretch(item, words)
+            if d <= (len(item) // 5 if len(item) >= 8 else 0):
                 want.append((i, k, d, len(item)))
     got = contaminated(docs, benchmark)
     assert sorted({tuple(r)[:4] for r in got.collect()}, key=key) == sorted(want, key=key) and len(want) >= 15
@@ -326,7 +349,17 @@ def test_decontamination(spark, odd, empty):
     assert {r.doc_id for r in clean.collect()} == {i for i, _ in table} - {w[0] for w in want} | {100, 101}
     assert decontaminate(odd, benchmark).columns == odd.columns
     assert contaminated(empty, benchmark).count() == 0 and contaminated(docs, benchmark.where("false")).count() == 0
-    assert [r.item_id for r in usable_items(benchmark).where("not usable").orderBy("item_id").collect()] == [5, 90, 91]
+    assert [r.item_id for r in usable_items(benchmark).where("not usable").orderBy("item_id").collect()] == [90, 91]
+
+
+def test_decontamination_without_blanks(spark):
+    """In scripts without blanks characters are words, so an item is found within a sentence, edits too."""
+    item = "今日はとても良い天気ですねと彼女は言いました"
+    texts = [f"前の文。{item}。後の文", item.replace("良", "悪"), "今日は雨", f"abc{item[:4]} {item[4:]}xyz", "สวัสดีชาวโลก"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    benchmark = spark.createDataFrame([(1, item), (2, "ชาว"), (3, "---"), (4, "Abc")], "item_id int, text string")
+    assert {(r.doc_id, r.item_id, r.distance) for r in contaminated(docs, benchmark).collect()} == {(0, 1, 0), (1, 1, 1), (3, 1, 0), (3, 4, 0), (4, 2, 0)}
+    assert [r.doc_id for r in decontaminate(docs, benchmark).collect()] == [2]
 
 
 # 9 substrings -------------------------------------------------------------------------------------

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sheltered(*used: str) -> Callable:
+    """For an operator docs -> docs with the same columns: those it does not use travel under names of
+    their own, told apart by place, so no input column clashes with a name inside or is changed."""
+    def around(operator: Callable) -> Callable:
+        @functools.wraps(operator)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            names = docs.columns
+            own = [n if n in used and n not in names[:k] else f"_carried_{k}" for k, n in enumerate(names)]
+            return operator(docs.toDF(*own), *args, **kwargs).select(*own).toDF(*names)
+
+        return run
+
+    return around
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or if a column has it, the name with the first free number behind."""
+    taken, k, out = {c.lower() for c in df.columns}, 1, name
+    while out.lower() in taken:
+        k, out = k + 1, f"{name}_{k + 1}"
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

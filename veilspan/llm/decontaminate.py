@@ -1,57 +1,75 @@
 """Benchmark decontamination: pigeonhole pieces, verified with Myers' bit-parallel edit distance.
 
-Texts and test items are sequences of normalised words (lower case, only letters and digits kept). A
-document contains an item if some stretch of it is at most ``budget`` word edits (insert, delete,
+Texts and test items are sequences of normalised words (lower case, only letters and digits kept); in
+scripts without blanks each character is a word. A document contains an item if some stretch of it is at most ``budget`` word edits (insert, delete,
 replace) away from the item; the budget is a fifth of the item's words, so at least four in five stay.
 An item is cut into budget + 1 pieces: budget edits cannot touch them all, so one piece occurs
 unchanged in each such stretch. Piece hits are looked up by hash in one pass over each text, and
 around each hit the distance is computed exactly, with the columns of the edit matrix as bit vectors.
 
-The items are a stated query set. They are read in blocks of bounded size; a block's pieces are
-broadcast and all documents pass by. The documents are not shuffled.
+The items are a stated query set. They are read in blocks of bounded size, ``BLOCK_CHARS``; a block is
+broadcast, indexed once per worker, and all documents pass by: a benchmark of n blocks costs n passes
+over the texts. The documents are not shuffled.
 
-Null texts and texts without words contain nothing. Items without words, or shorter than ``least``
-words, cannot be told from chance and are left out of the search: ``usable_items`` says which. An
-empty benchmark or table has no hits.
+Items under ``SHORT`` words are searched for exactly, as an edit in them is no sign of copying. Null texts
+and texts without words contain nothing. Items without words cannot be searched for: ``usable_items`` says
+which, ``contaminated`` has no rows for them. An empty benchmark or table has no hits.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import text_slices
+from veilspan.llm.common import free_name, text_slices
 
-#: Words that an item needs, edits allowed per word, and characters of item texts in a block.
-LEAST, EDITS, BLOCK_CHARS = 8, 0.2, 4 << 20
+#: Words below which an item has to occur as it is, edits allowed per word, and characters of item texts in a block.
+SHORT, EDITS, BLOCK_CHARS = 8, 0.2, 4 << 20
 CACHED = 400_000
 SLICE_BYTES = 1 << 19
 HITS = "item_id bigint, distance int, item_words int, first_word int, last_word int"
 _KEPT = re.compile(r"[^\W_]+")
+#: Thai and Lao, Burmese, Khmer, kana, Han: scripts that set no blanks between words.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORDS = re.compile(f"[{_UNSPACED}]|[^{_UNSPACED}]+")
+_SEVERAL = 2  # no code of a word, as those are odd
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+def normalized(word: str) -> list[str]:
+    """The words that a piece between blanks stands for: one, none, or several without blanks."""
+    plain = "".join(_KEPT.findall(word.lower()))
+    return [plain] if plain.isascii() and plain else _WORDS.findall(plain)
+
+
 class WordCodes:
-    """64-bit codes of normalised words: 0 for words of which nothing is left."""
+    """64-bit codes of normalised words."""
 
     def __init__(self):
         self.known: dict[bytes, int] = {}
+        self.several: dict[bytes, list[int]] = {}
 
     def of(self, words: list[bytes]) -> np.ndarray:
         import xxhash
 
         new = set(words).difference(self.known)
         if len(self.known) + len(new) > CACHED:
-            self.known, new = {}, set(words)
+            self.known, self.several, new = {}, {}, set(words)
         for word in new:
-            plain = "".join(_KEPT.findall(word.decode().lower()))
-            self.known[word] = (xxhash.xxh64_intdigest(plain.encode(), 7) | 1) if plain else 0
+            codes = [xxhash.xxh64_intdigest(w.encode(), 7) | 1 for w in normalized(word.decode())]
+            self.known[word] = codes[0] if len(codes) == 1 else _SEVERAL if codes else 0
+            if len(codes) > 1:
+                self.several[word] = codes
         codes = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+        if self.several and (codes == _SEVERAL).any():
+            parts = (self.several.get(w) or [c] for w, c in zip(words, codes.tolist()))
+            codes = np.fromiter((c for part in parts for c in part), np.uint64)
         return codes[codes != 0]
 
 
@@ -90,16 +108,16 @@ def best_match(item: list[int], text: list[int]) -> tuple[int, int]:
 class Items:
     """A block of items and where their pieces begin."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float, least: int):
+    def __init__(self, items: list[tuple[int, str]], edits: float, short: int):
         self.ids = [item_id for item_id, _ in items]  # ids may repeat or be null; inside, items go by place
         self.words: dict[int, list[int]] = {}
         self.budget: dict[int, int] = {}
         by_length: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for item, (_, text) in enumerate(items):
             codes = CODES.of((text or "").encode().split())
-            if len(codes) < least:
+            if not len(codes):
                 continue
-            budget = int(edits * len(codes))
+            budget = int(edits * len(codes)) if len(codes) >= short else 0
             self.words[item], self.budget[item] = codes.tolist(), budget
             cuts = [len(codes) * k // (budget + 1) for k in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:]):
@@ -138,17 +156,30 @@ class Items:
         return out
 
 
-def _find(items: list[tuple[int, str]], edits: float, least: int):
-    holder: list[Items] = []
+_INDEXED: dict[str, Items] = {}
+
+
+class SharedItems:
+    """A block of items on its way to the workers; each builds its index once and keeps one."""
 
+    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], edits: float, short: int):
+        self.sent, self.how, self.mark = spark.sparkContext.broadcast(items), (edits, short), uuid.uuid4().hex
+
+    def get(self) -> Items:
+        if self.mark not in _INDEXED:
+            _INDEXED.clear()
+            _INDEXED[self.mark] = Items(self.sent.value, *self.how)
+        return _INDEXED[self.mark]
+
+
+def _find(shared: SharedItems):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not holder:
-            holder.append(Items(items, edits, least))
+        items = shared.get()
         for batch in batches:
             ids, out = batch.column(0), []
             for first, texts in text_slices(batch, "text", SLICE_BYTES):
                 for row, text in enumerate(texts, first):
-                    out += [(row, holder[0].ids[item], d, len(holder[0].words[item]), a, b) for item, d, a, b in holder[0].hits(CODES.of(text.split()))]
+                    out += [(row, items.ids[item], d, len(items.words[item]), a, b) for item, d, a, b in items.hits(CODES.of(text.split()))]
             rows = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [ids.take(rows), pa.array([o[1] for o in out], pa.int64()), *(pa.array([o[k] for o in out], pa.int32()) for k in range(2, 6))],
@@ -170,39 +201,36 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
         yield block
 
 
-def usable_items(benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """benchmark + whether an item has enough words to be searched for."""
-    kept = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: F.regexp_like(w, F.lit(r"[\p{L}\p{N}]"))))
-    return benchmark.withColumn("usable", kept >= least)
+def usable_items(benchmark: DataFrame) -> DataFrame:
+    """benchmark + whether an item has a word to be searched for."""
+    return benchmark.withColumn(free_name(benchmark, "usable"), F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[\p{L}\p{N}]")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least: int = LEAST) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, short: int = SHORT) -> DataFrame:
     """A row for each document and item it contains: doc_id, item_id, distance (word edits), item_words,
     first_word, last_word (of the stretch, counted in normalised words)."""
+    spark = docs.sparkSession
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {HITS}"
-    found = [docs.select("doc_id", "text").mapInArrow(_find(block, edits, least), schema) for block in item_blocks(benchmark)]
-    out = docs.sparkSession.createDataFrame([], schema) if not found else found[0]
+    found = [docs.select("doc_id", "text").mapInArrow(_find(SharedItems(spark, block, edits, short)), schema) for block in item_blocks(benchmark)]
+    out = spark.createDataFrame([], schema) if not found else found[0]
     for more in found[1:]:
         out = out.unionByName(more)
     return out
 
 
-def _flag(items: list[tuple[int, str]], edits: float, least: int):
-    holder: list[Items] = []
-
+def _flag(shared: SharedItems):
     @F.arrow_udf("boolean")
     def contains(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if not holder:
-            holder.append(Items(items, edits, least))
+        items = shared.get()
         for each in texts:
             batch = pa.RecordBatch.from_arrays([each], ["text"])
-            yield pa.array([bool(holder[0].hits(CODES.of(t.split()))) for _, part in text_slices(batch, "text", SLICE_BYTES) for t in part], pa.bool_())
+            yield pa.array([bool(items.hits(CODES.of(t.split()))) for _, part in text_slices(batch, "text", SLICE_BYTES) for t in part], pa.bool_())
 
     return contains
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, least: int = LEAST) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, short: int = SHORT) -> DataFrame:
     """docs without the documents that contain an item; a filter on the map side."""
     for block in item_blocks(benchmark):
-        docs = docs.where(~_flag(block, edits, least)(F.col("text")))
+        docs = docs.where(~_flag(SharedItems(docs.sparkSession, block, edits, short))(F.col("text")))
     return docs

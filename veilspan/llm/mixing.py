@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from veilspan.functions.tables import lookup
-from veilspan.llm.common import WORD, stored
+from veilspan.llm.common import WORD, sheltered, stored
 
 GROUP_ROWS = 1024
 FAN_IN = 512
@@ -152,6 +152,7 @@ def copies_per_row(plan: DataFrame) -> DataFrame:
         "copies", each.cast("bigint")).drop("_k", "rows")
 
 
+@sheltered("doc_id", "source", "text")
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """The mixed corpus: the rows of docs, each as often as it is taken. One shuffle of the texts of
     taken units; equal rows of one id and text need one more aggregation, only if there are any."""

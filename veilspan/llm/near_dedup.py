@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import stored, text_slices
+from veilspan.llm.common import sheltered, stored, text_slices
 from veilspan.llm.graph import components
 
 #: Distinct fingerprints that a leaf of the shared tree should hold, of the sample it is fitted on at
@@ -199,6 +199,7 @@ def near_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     return prints.join(of, "fp").select("doc_id", "fp", "component_id", "root")
 
 
+@sheltered("doc_id", "text")
 def near_dedup(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     """docs with one row of each group: that of the smallest id."""
     return one_of_each(docs, near_groups(docs, words, bits), simhash(words))

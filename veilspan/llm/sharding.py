@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veilspan.llm.common import new_folder, stored
+from veilspan.llm.common import free_name, new_folder, stored
 
 SLOTS = 8192
 #: Bytes that a record costs besides its text.
@@ -112,21 +112,44 @@ def plan(loads: list[int], shards: int, version: int = 1) -> SlotMap:
     return SlotMap(shards, version, tuple(shard_of))
 
 
-def shard(docs: DataFrame, shards: int, slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """docs + shard, virtual_slot (columns of these names are replaced), and the map. One
-    aggregation over two narrow columns; the texts are not shuffled."""
-    slot_map = plan(slot_loads(with_slot(docs, slots), slots)[0], shards)
-    return docs.withColumn("virtual_slot", virtual_slot(slots)).withColumn("shard", slot_map.shard(F.col("virtual_slot"))), slot_map
+def current_map(spark: SparkSession, root: str, loads: list[int], shards: int) -> SlotMap:
+    """The newest map in ``root``, edited until it has the shards asked for and stored as the next version;
+    a new map if there is none. Fewer shards than it has are no edit: an error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    versions = [int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    if not versions:
+        slot_map = plan(loads, shards)
+        slot_map.save(spark, root)
+        return slot_map
+    slot_map = SlotMap.load(spark, root, max(versions))
+    if slot_map.shards > shards:
+        raise ValueError(f"the map has {slot_map.shards} shards already")
+    while slot_map.shards < shards:
+        slot_map = slot_map.grow(loads)
+        slot_map.save(spark, root)
+    return slot_map
+
+
+def shard(docs: DataFrame, shards: int, slots: int = SLOTS, root: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """docs + virtual_slot, shard, and the map. One aggregation over two narrow columns; the texts are not
+    shuffled. The map is kept in ``root``: a job that names the folder of an earlier one goes on with its
+    map, edited if there are more shards. If docs has a column of such a name, the new one gets a number
+    behind it (``shard_2``)."""
+    spark = docs.sparkSession
+    slot_map = current_map(spark, root or new_folder(spark, "slot-map"), slot_loads(with_slot(docs, slots), slots)[0], shards)
+    slot = virtual_slot(slots)
+    return docs.withColumns({free_name(docs, "virtual_slot"): slot, free_name(docs, "shard"): slot_map.shard(slot)}), slot_map
 
 
 def positions(docs: DataFrame, shards: int, slots: int = SLOTS, root: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot, virtual_slot): ``slot`` is the place within the shard,
     0 and up without a gap. Rows are only numbered within a virtual slot; where a virtual slot begins
-    in its shard follows from the row counts per slot. The map is stored as version 1 in ``root``."""
+    in its shard follows from the row counts per slot. The map is kept in ``root``, as for ``shard``."""
     sized = stored(with_slot(docs, slots), "sized")
     loads, rows = slot_loads(sized, slots)
-    slot_map = plan(loads, shards)
-    slot_map.save(docs.sparkSession, root or new_folder(docs.sparkSession, "slot-map"))
+    slot_map = current_map(docs.sparkSession, root or new_folder(docs.sparkSession, "slot-map"), loads, shards)
     begin, begins = [0] * shards, [0] * slots
     for slot, owner in enumerate(slot_map.shard_of):
         begins[slot] = begin[owner]
