@@ -7,8 +7,8 @@ and a text has as many tokens as its pre-tokens together.
 Tier one is a broadcast table of the most frequent pre-tokens and their lengths; it is bounded by
 ``FREQUENT`` entries of at most ``LONGEST`` bytes, whatever the corpus. Tier two is a cache in each
 worker for the rest, encoded once per worker while the cache lasts. Pre-tokens are not shuffled:
-the frequent ones come from a bounded summary of each partition, over all texts. The table decides
-about speed only, never about a count.
+the frequent ones come from a sample of about ``SAMPLE`` texts, read by ``SAMPLE_TASKS`` tasks that each
+hand one summary of bounded size to the driver. The table decides about speed only, never about a count.
 
 Null texts are empty and have no tokens. Texts that hold the vocabulary's own blank sign are encoded
 whole.
@@ -30,8 +30,8 @@ from veilspan.llm.common import text_slices
 
 FREQUENT = 65_536
 LONGEST = 32
-#: Pre-tokens that a partition's summary hands on, and that it holds meanwhile.
-SUMMARY, SUMMARY_HELD = 16_384, 200_000
+#: Texts that the table is made from, tasks that read them, pre-tokens that a task hands on and holds meanwhile.
+SAMPLE, SAMPLE_TASKS, SUMMARY, SUMMARY_HELD, SEED = 32_768, 16, 32_768, 200_000, 29
 CACHED = 400_000
 SLICE_BYTES = 1 << 20
 SIGN = "▁"
@@ -98,13 +98,18 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(seen) > SUMMARY_HELD:
                 seen = Counter(dict(seen.most_common(SUMMARY_HELD // 4)))
     top = [(k, n) for k, n in seen.most_common(SUMMARY) if n > 1 and 0 < len(k) <= LONGEST and b" " not in k and b"\0" not in k]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], ["piece", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array([b" ".join(k for k, _ in top)]), pa.array([np.array([n for _, n in top], np.int64).tobytes()])], ["pieces", "counts"])
 
 
 def frequent_table(docs: DataFrame, model: str, entries: int = FREQUENT) -> Broadcast:
     """The table of tier one as a broadcast: (pre-tokens joined by blanks, a byte of length each)."""
-    counted = docs.select("text").mapInArrow(_summary, "piece binary, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
-    keys = [bytes(r["piece"]) for r in counted.orderBy(F.desc("n"), "piece").limit(entries).collect()]
+    texts = docs.select("text")
+    rate = SAMPLE / max(texts.count(), SAMPLE)
+    total: Counter = Counter()
+    for r in texts.sample(rate, SEED).repartition(SAMPLE_TASKS).mapInArrow(_summary, "pieces binary, counts binary").collect():  # a row per task
+        if r["counts"]:
+            total.update(dict(zip(bytes(r["pieces"]).split(b" "), np.frombuffer(r["counts"], np.int64).tolist())))
+    keys = sorted(total, key=lambda k: (-total[k], k))[:entries]
     lengths = PieceCounter(model, (b"", b"")).lengths(keys)
     return docs.sparkSession.sparkContext.broadcast((b" ".join(keys), np.array(lengths, np.uint8).tobytes()))
 
