@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions.regex import empty, let
 
-BOX = "struct<x:double,y:double,w:double,h:double,score:double,label:string>"
 
 
 # ---------------------------------------------------------------- box arithmetic
@@ -179,47 +181,118 @@ def _islands(boxes: DataFrame, group: list[str], band: int = 64) -> DataFrame:
     w = Window.partitionBy(*group).orderBy("_band")
     starts = bands.withColumn("_new", F.when(F.col("_band") - F.lag("_band").over(w) <= 1, 0).otherwise(1))
     named = starts.withColumn("_isl", F.sum("_new").over(w)).drop("_new")
-    return boxes.withColumn("_band", first).join(named, [*group, "_band"]).drop("_band")
-
-
-def _fold(boxes: DataFrame, group: list[str], order: list[str], step) -> DataFrame:
-    cols = [F.col(c).cast("double").alias(c) for c in "xywh"]
-    score = (F.col("score") if "score" in boxes.columns else F.lit(0.0)).cast("double").alias("score")
-    label = (F.col("label") if "label" in boxes.columns else F.lit("")).alias("label")
-    item = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*cols, score, label).cast(BOX).alias("b"))
-    listed = _islands(boxes, group).groupBy(*group, "_isl").agg(F.array_sort(F.collect_list(item)).alias("l"))
-    merged = F.aggregate(F.transform("l", lambda v: v["b"]), empty(f"array<{BOX}>"), step)
-    return listed.select(*group, F.inline(merged))
+    named = named.select("_isl", F.col("_band").alias("_b"), *(F.col(g).alias(f"_g{k}") for k, g in enumerate(group)))
+    same = F.col("_band") == F.col("_b")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    return boxes.withColumn("_band", first).join(named, same).drop("_band", "_b", *(f"_g{k}" for k in range(len(group))))
+
+
+class Grid:
+    """Places of boxes (x, y, w, h, ...) by the cells they cover, so a box only meets those around it.
+    Boxes over many cells are kept apart and met by all."""
+
+    WIDE = 64
+
+    def __init__(self, boxes: list[tuple]):
+        sides = sorted(max(b[2], b[3]) for b in boxes)
+        self.side = max(sides[len(sides) // 2], 1e-6) if boxes else 1.0
+        self.cells: dict[tuple[int, int], list[int]] = {}
+        self.wide: list[int] = []
+
+    def _covered(self, box: tuple) -> list[tuple[int, int]] | None:
+        x, y, w, h = box[:4]
+        xs, ys = (range(math.floor(min(p, p + d) / self.side), math.floor(max(p, p + d) / self.side) + 1) for p, d in ((x, w), (y, h)))
+        return None if len(xs) * len(ys) > self.WIDE else [(i, j) for i in xs for j in ys]
+
+    def put(self, place: int, box: tuple) -> None:
+        covered = self._covered(box)
+        if covered is None:
+            if place not in self.wide[-8:]:
+                self.wide.append(place)
+        else:
+            for cell in covered:
+                held = self.cells.setdefault(cell, [])
+                if not held or held[-1] != place:
+                    held.append(place)
+
+    def around(self, box: tuple, count: int):
+        """Places that may touch the box, ascending."""
+        covered = self._covered(box)
+        if covered is None:
+            return range(count)
+        return sorted({*self.wide, *(k for cell in covered for k in self.cells.get(cell, ()))})
+
+
+def _touch(a: tuple, b: tuple) -> bool:
+    return not (b[0] > a[0] + a[2] or a[0] > b[0] + b[2] or b[1] > a[1] + a[3] or a[1] > b[1] + b[3])
+
+
+def _iou(a: tuple, b: tuple) -> float:
+    both = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])) * max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
+    union = a[2] * a[3] + b[2] * b[3] - both
+    return both / union if union else 0.0
+
+
+def _grown(o: tuple, b: tuple) -> tuple:
+    x, y = min(o[0], b[0]), min(o[1], b[1])
+    label = f"{o[5]} {b[5]}".strip(" ") if b[5] and o[5] is not None and b[5] not in o[5] else o[5]
+    return (x, y, max(o[0] + o[2], b[0] + b[2]) - x, max(o[1] + o[3], b[1] + b[3]) - y, o[4], label)
+
+
+def _better(o: tuple, b: tuple) -> tuple:
+    return b if b[4] is not None and o[4] is not None and b[4] > o[4] else o
+
+
+def fold_boxes(boxes: list[tuple], same, join) -> list[tuple]:
+    """Each box (x, y, w, h, score, label) in turn joins the first one so far that is the ``same``, or
+    stands for itself."""
+    kept: list[tuple] = []
+    grid = Grid(boxes)
+    for box in boxes:
+        at = next((k for k in grid.around(box, len(kept)) if same(kept[k], box)), None)
+        if at is None:
+            at = len(kept)
+            kept.append(box)
+        else:
+            joined = join(kept[at], box)
+            if joined is kept[at]:
+                continue
+            kept[at] = joined
+        grid.put(at, kept[at])
+    return kept
+
+
+def _fold(boxes: DataFrame, group: list[str], order: list[str], same, join) -> DataFrame:
+    """Fold the boxes of every island in their order. An island is one task's group, as each box depends on
+    those before it; time is near linear in its boxes."""
+    kinds = dict(boxes.dtypes)
+    fields = ("x", "y", "w", "h", "score", "label")
+    rows = _islands(boxes.withColumn("score", F.col("score") if "score" in kinds else F.lit(0.0)).withColumn(
+        "label", F.col("label") if "label" in kinds else F.lit("")), group)
+    rows = rows.select(*group, "_isl", *(F.col(c).cast("double").alias(f"_o{k}") for k, c in enumerate(order)),
+                       *(F.col(c).cast("double").alias(f"_{c}") for c in fields[:5]), F.col("label").cast("string").alias("_label"))
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_pylist() for c in (*(f"_o{k}" for k in range(len(order))), *(f"_{c}" for c in fields))]
+        listed = sorted(zip(*columns), key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))
+        out = fold_boxes([r[len(order):] for r in listed], same, join)
+        first = table.slice(0, 1)
+        keys = {g: pa.chunked_array([first.column(g).combine_chunks().take(pa.array([0] * len(out), pa.int64()))]) for g in group}
+        return pa.table(keys | {c: pa.array([b[k] for b in out], pa.string() if c == "label" else pa.float64()) for k, c in enumerate(fields)})
+
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "x double, y double, w double, h double, score double, label string"])
+    return rows.groupBy(*group, "_isl").applyInArrow(run, schema)
 
 
 def merge_boxes(boxes: DataFrame, group=("image_id", "kind", "effect")) -> DataFrame:
     """Boxes of one kind and effect that touch become one, in reading order; labels are joined."""
-    def step(acc: Column, b: Column) -> Column:
-        flags = F.transform(acc, lambda o: touching(o, b))
-        at = F.array_position(flags, F.lit(True)).cast("int") - 1
-
-        def grow(o: Column) -> Column:
-            x0, y0 = F.least(o["x"], b["x"]), F.least(o["y"], b["y"])
-            label = F.when((b["label"] != "") & ~F.contains(o["label"], b["label"]),
-                           F.trim(F.concat(o["label"], F.lit(" "), b["label"]))).otherwise(o["label"])
-            return F.struct(x0.alias("x"), y0.alias("y"), (F.greatest(o["x"] + o["w"], b["x"] + b["w"]) - x0).alias("w"),
-                            (F.greatest(o["y"] + o["h"], b["y"] + b["h"]) - y0).alias("h"), o["score"].alias("score"),
-                            label.alias("label")).cast(BOX)
-
-        return let(at, lambda i: F.when(i < 0, F.array_append(acc, b)).otherwise(
-            F.transform(acc, lambda o, k: F.when(k == i, grow(o)).otherwise(o))))
-
-    return _fold(boxes, list(group), ["y", "x"], step)
+    return _fold(boxes, list(group), ["y", "x"], _touch, _grown)
 
 
 def best_boxes(boxes: DataFrame, threshold: float = 0.3, group=("image_id", "kind"), order: str = "ord") -> DataFrame:
-    """Detections that overlap by more than ``threshold`` are one; the better score stays (in input order)."""
-    def step(acc: Column, b: Column) -> Column:
-        at = F.array_position(F.transform(acc, lambda o: iou(o, b) > threshold), F.lit(True)).cast("int") - 1
-        return let(at, lambda i: F.when(i < 0, F.array_append(acc, b)).otherwise(
-            F.transform(acc, lambda o, k: F.when((k == i) & (b["score"] > o["score"]), b).otherwise(o))))
-
-    return _fold(boxes, list(group), [order], step)
+    """Detections that overlap by more than ``threshold`` (0 or more) are one; the better score stays (in input order)."""
+    return _fold(boxes, list(group), [order], lambda a, b: _iou(a, b) > threshold, _better)
 
 
 def usable_images(images: DataFrame, min_area: float = 0.01, min_pixels: int = 48) -> DataFrame:

@@ -284,6 +284,18 @@ def box_best(spark, sf):
     return bx.best_boxes(rows).select("image_id", "score")
 
 
+@query("box_overlaps", """
+with b as (select l_orderkey as image_id, l_linenumber as ord, 20 * l_linenumber as x, max(round(l_discount + l_tax, 2)) as score from lineitem group by all),
+p as (select *, ord - lag(ord, 1, -9) over (partition by image_id order by ord) > 1 as new from b)
+select image_id, cast(count(*) as bigint) as boxes from (select image_id, ord, row_number() over (partition by image_id, g order by ord) as k from
+ (select *, sum(case when new then 1 else 0 end) over (partition by image_id order by ord) as g from p)) where k % 2 = 1 group by image_id""")
+def box_overlaps(spark, sf):
+    """Boxes 60 wide, 20 apart, score falling: a box is dropped for its neighbour (overlap 1/2), not for the next but one (1/5)."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("ord")).distinct().select(
+        "image_id", F.lit("FACE").alias("kind"), "ord", (-F.col("ord")).cast("double").alias("score"), (20 * F.col("ord")).alias("x"), F.lit(0).alias("y"), F.lit(60).alias("w"), F.lit(50).alias("h"))
+    return bx.best_boxes(rows).groupBy("image_id").agg(F.count(F.lit(1)).alias("boxes"))
+
+
 @query("box_images", """
 select doc_id, page, x1 from (select distinct l_orderkey as doc_id, l_linenumber as page, least(round(l_quantity, 1), 100.0) as x1, l_suppkey as px from lineitem)
 where x1 * 50 / 10000 >= 0.01 and least(px, 60) >= 48 group by all""")
