@@ -407,6 +407,18 @@ def test_index_takes_batches_in_and_out(spark, odd):
     assert content(both) == content(whole)
     back = update_index(both, read.where("doc_id >= 30 or doc_id is null"), bucket_count(1), live=False)
     assert [(r[0], r[2]) for r in content(back)] == [(r[0], r[2]) for r in content(half)]
+    left = read.where("doc_id < 30")
+    assert content(update_index(both, read.where("doc_id >= 30 or doc_id is null"), bucket_count(1), live=False, left=left)) == content(half)
+
+
+def test_smallest_id_after_a_deletion(spark):
+    """The row that names a group goes: the smallest that is left names it; groups without rows go, others stay."""
+    read = digests(spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (4, "b"), (5, "c"), (6, "c")], "doc_id int, text string"))
+    index = update_index(empty_index(spark), read, bucket_count(1))
+    after = update_index(index, read.where("doc_id in (1, 4, 6)"), bucket_count(1), live=False, left=read.where("doc_id in (2, 3, 5)"))
+    assert sorted((r.keep_id, r.group_size) for r in after.where("digest is not null").collect()) == [(2, 2), (5, 1)]
+    again = update_index(after, read.where("doc_id in (1, 4)"), bucket_count(1))
+    assert sorted((r.keep_id, r.group_size) for r in again.where("digest is not null").collect()) == [(1, 3), (4, 1), (5, 1)]
 
 
 def test_cuckoo_filter():

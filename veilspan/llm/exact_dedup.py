@@ -131,7 +131,7 @@ class Bucket:
 
     def remove(self, digests: list[bytes], sizes: list) -> None:
         """Take rows of live digests away; a digest without rows leaves content and filter. The
-        smallest id stays as it is: which ids go is not known here."""
+        smallest id stays as it is: which ids are left is not known here (see ``update_index``)."""
         gone = []
         for digest, hit, size in zip(digests, self.filter.contains(self.hashes(digests)).tolist(), sizes):
             row = self.rows.get(digest) if hit else None
@@ -203,14 +203,23 @@ def empty_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], STATE)
 
 
-def update_index(index: DataFrame, batch: DataFrame, buckets: int, live: bool = True) -> DataFrame:
+def update_index(index: DataFrame, batch: DataFrame, buckets: int, live: bool = True, left: DataFrame | None = None) -> DataFrame:
     """The index after the rows of ``batch`` (doc_id, digest) were inserted, or taken out with
-    ``live=False``. The number of buckets stays that of the index's first batch."""
+    ``live=False``. The number of buckets stays that of the index's first batch.
+
+    When rows are taken out, ``left`` (doc_id, digest) are the rows that stay: the smallest ids of the
+    digests in the batch are then taken from them. Without it they may name a row that is gone."""
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
     rows = batch.select(bucket.alias("bucket"), "digest", F.lit(live).alias("live"), F.col("doc_id").cast("bigint").alias("keep_id"),
                         F.lit(1).cast("bigint").alias("group_size"))
     combined = rows.mapInArrow(_combine, "bucket int, digest binary, live boolean, keep_id bigint, group_size bigint")
-    return stored(index.groupBy("bucket").cogroup(combined.groupBy("bucket")).applyInArrow(_update, STATE), "cuckoo-index")
+    out = index.groupBy("bucket").cogroup(combined.groupBy("bucket")).applyInArrow(_update, STATE)
+    if not live and left is not None:
+        touched = batch.select("digest").distinct()
+        least = left.join(touched, "digest", "left_semi").groupBy("digest").agg(F.min(F.col("doc_id").cast("bigint")).alias("_least"))
+        known = touched.join(least, "digest", "left").withColumn("_touched", F.lit(True))
+        out = out.join(known, "digest", "left").withColumn("keep_id", F.when(F.col("_touched"), F.col("_least")).otherwise(F.col("keep_id"))).select(*index.columns)
+    return stored(out, "cuckoo-index")
 
 
 def bucket_count(rows: int) -> int:
