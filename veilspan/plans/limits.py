@@ -75,7 +75,7 @@ def type_overrides(spark, sf):
 @query("infra_vocabulary", "select l_orderkey as doc_id, cast(0 as bigint) as n from lineitem group by all")
 def infra_vocabulary(spark, sf):
     """Names made of vocabulary only are nobody's: no finding."""
-    words = sorted(w for group in (lists.GENERIC_STEMS, lists.OBJECT_STEMS, lists.PRODUCT_STEMS, lists.ACTION_STEMS, lists.DEVICE_STEMS, lists.HOST_PRODUCT_STEMS)
+    words = sorted(w for group in (lists.HOST_ROLES, lists.HOST_SERVICES, lists.WORKLOADS, lists.COMPONENTS, lists.OPERATIONS, lists.PRODUCTS)
                    for w in group if w.isalpha())
     pick = lambda c: F.element_at(F.split(F.lit(",".join(words)), ","), F.pmod(F.xxhash64(*c), F.lit(len(words))).cast("int") + 1)
     docs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_partkey").alias("p")).select(
