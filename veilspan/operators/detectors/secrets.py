@@ -76,6 +76,68 @@ PROVIDER_RULES = (
     (r"shippo_(?:live|test)_", r"[0-9a-f]{40}"),
     (r"sl\.", r"[A-Za-z0-9_\-=]{130,}"),
     (r"xkeysib-", r"[0-9a-f]{64}-[A-Za-z0-9]{16}"),
+    (r"xsmtpsib-", r"[0-9a-f]{64}-[A-Za-z0-9]{16}"),
+    (r"GOCSPX-", r"[A-Za-z0-9_\-]{28}"),
+    (r"1//0", r"[A-Za-z0-9_\-]{40,}"),
+    (r"nvapi-", r"[A-Za-z0-9_\-]{60,}"),
+    (r"pplx-", r"[A-Za-z0-9]{48}"),
+    (r"xai-", r"[A-Za-z0-9]{80}"),
+    (r"tvly-(?:dev-|prod-)?", r"[A-Za-z0-9]{32}"),
+    (r"lsv2_(?:pt|sk)_", r"[0-9a-f]{32}_[0-9a-f]{10}"),
+    (r"jina_", r"[A-Za-z0-9_\-]{50,}"),
+    (r"r8_", r"[A-Za-z0-9]{37}"),
+    (r"CFPAT-", r"[A-Za-z0-9_\-]{43}"),
+    (r"ATBB", r"[A-Za-z0-9]{24,}"),
+    (r"nfp_", r"[A-Za-z0-9]{36,}"),
+    (r"rnd_", r"[A-Za-z0-9]{28,}"),
+    (r"ph[cx]_", r"[A-Za-z0-9]{43}"),
+    (r"oy2", r"[a-z0-9]{43}"),
+    (r"CLOJARS_", r"[a-z0-9]{60}"),
+    (r"sgp_(?:[0-9a-f]{16}_|local_)?", r"[0-9a-f]{40}"),
+    (r"ops_eyJ", r"[A-Za-z0-9+/=_\-]{100,}"),
+    (r"fo1_", r"[A-Za-z0-9_\-]{43}"),
+    (r"fm[12][ar]?_", r"[A-Za-z0-9+/=]{100,}"),
+    (r"LTAI", r"[A-Za-z0-9]{20}"),
+    (r"AKID", r"[A-Za-z0-9]{32}"),
+    (r"AQVN", r"[A-Za-z0-9_\-]{35,38}"),
+    (r"EAAA", r"[A-Za-z0-9_\-]{60}"),
+    (r"NRJS-", r"[0-9a-f]{19}"),
+    (r"NRII-", r"[A-Za-z0-9_\-]{32}"),
+    (r"NRRA-", r"[0-9a-f]{42}"),
+    (r"eyJrIjoi", r"[A-Za-z0-9=]{70,}"),
+    (r"fio-u-", r"[A-Za-z0-9_\-=]{64}"),
+    (r"pnu_", r"[a-z0-9]{36}"),
+    (r"dt0c01\.", r"[A-Z0-9]{24}\.[A-Z0-9]{64}"),
+    (r"HRKU-", r"[A-Za-z0-9_\-]{36,}"),
+    (r"pat-(?:na|eu|ap)[0-9]-", r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
+    (r"access-(?:sandbox|development|production)-", r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
+    (r"rdme_", r"[a-z0-9]{70}"),
+    (r"samsara_api_", r"[A-Za-z0-9]{30}"),
+    (r"SCW", r"[A-Z0-9]{17}"),
+    (r"sm_(?:aat|pat|sat)_", r"[A-Za-z0-9]{16}"),
+    (r"sq[apu]_", r"[0-9a-f]{40}"),
+    (r"v1\.0-", r"[0-9a-f]{24}-[0-9a-f]{146}"),
+    (r"zpka_", r"[0-9a-f]{32}_[0-9a-f]{8}"),
+    (r"ico-", r"[A-Za-z0-9]{32}"),
+    (r"[ps]at\.[A-Za-z0-9_\-]{22}\.", r"[0-9a-f]{24}\.[A-Za-z0-9]{20}"),
+    (r"API-", r"[A-Z0-9]{26,}"),
+    (r"AKCp", r"[A-Za-z0-9]{69}"),
+    (r"cmVmdGtu", r"[A-Za-z0-9]{56}"),
+    (r"(?:live|test)_", r"[0-9a-f]{35}"),
+    (r"", r"[A-Za-z0-9]{6}_[A-Za-z0-9]{29}_mmk"),
+    (r"", r"[0-9a-f]{32}-us[0-9]{1,2}"),
+    (r"[ps]k\.", r"eyJ[A-Za-z0-9_\-]{50,}\.[A-Za-z0-9_\-]{22}"),
+    (r"", r"[MNO][A-Za-z0-9]{23,25}\.[A-Za-z0-9_\-]{6}\.[A-Za-z0-9_\-]{27,38}"),
+    (r"CCIPAT_", r"[A-Za-z0-9]{22}_[0-9a-f]{40}"),
+    (r"AVNS_", r"[A-Za-z0-9]{19}"),
+    (r"rzp_(?:live|test)_", r"[A-Za-z0-9]{14}"),
+    (r"[sp]k_sbox_", r"[a-z0-9]{26,}"),
+    (r"tr_(?:dev|prod|stg)_", r"[A-Za-z0-9]{20,}"),
+    (r"apify_api_", r"[A-Za-z0-9]{34,}"),
+    (r"kaggle_", r"[0-9a-f]{32,}"),
+    (r"sdk-", r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
+    (r"secret_", r"[A-Za-z0-9]{43}"),
+    (r"cio", r"[A-Za-z0-9]{32}"),
 )
 # providers whose keys have no prefix of their own: provider word, then a plain value
 KEYED_PROVIDERS = tuple("""
@@ -83,6 +145,9 @@ adafruit adobe algolia asana atlassian bitbucket bittrex codecov coinbase conflu
 droneci dropbox etsy fastly finicity finnhub flickr gitter heroku hubspot intercom kraken kucoin launchdarkly
 linkedin looker mailchimp mapbox mattermost messagebird netlify nytimes okta plaid sendbird sentry snyk
 squarespace sumologic travisci trello twitch twitter typeform yandex zendesk
+auth0 azure bitly braintree circleci clickup cloudflare cloudinary deepl firebase freshdesk gocardless jira jotform mailgun mailjet
+newrelic nexmo notion onesignal openai opsgenie pagerduty paypal pinecone pipedrive pulumi pusher rollbar salesforce sendgrid shodan
+stripe supabase surveymonkey trustpilot twilio vercel virustotal zapier
 """.split())
 JWT = r"eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]*"
 # Java recurses per repetition of a group, so the pieces of one split token need a bound (stack, not meaning).

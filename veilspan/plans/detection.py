@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from veilspan.functions import text as tx
@@ -108,6 +110,27 @@ _on_table("find_tokens", "customer", "c_custkey", f"'x ' || {_gl} || ' y ' || {_
 _do = "'do' || 'p_v1_' || md5(c_name) || md5('d' || c_name)"
 _on_table("find_provider_tokens", "customer", "c_custkey", f"'use ' || {_do} || ', datadog_api_key = ' || chr(34) || md5('g' || c_name) || chr(34)",
           [("SECRET", "'use '", _do), ("SECRET", f"'use ' || {_do} || ', datadog_api_key = ' || chr(34)", "md5('g' || c_name)")], "gitleaks")
+# One format per customer, in turn; {h}: hex digits without end, {u}: the same in capitals.
+_FORMATS = """
+GOCSPX-|h28 1//0|h48 nvapi-|h64 pplx-|h48 xai-|h80 tvly-|h32 lsv2_pt_|h32|_|h10 jina_|h56 r8_|h37 CFPAT-|h43 ATBB|h24 nfp_|h36 rnd_|h28 phc_|h43
+oy2|h43 CLOJARS_|h60 sgp_local_|h40 ops_eyJ|h120 fo1_|h43 fm2_|h120 LTAI|h20 AKID|h32 AQVN|h36 EAAA|h60 NRJS-|h19 NRII-|h32 NRRA-|h42 eyJrIjoi|h80
+fio-u-|h64 pnu_|h36 dt0c01.|u24|.|u64 HRKU-|h36 pat-na1-|h8|-|h4|-|h4|-|h4|-|h12 access-production-|h8|-|h4|-|h4|-|h4|-|h12 rdme_|h70 samsara_api_|h30
+SCW|u17 sm_pat_|h16 sqp_|h40 v1.0-|h24|-|h146 zpka_|h32|_|h8 ico-|h32 pat.|h22|.|h24|.|h20 API-|u26 AKCp|h69 cmVmdGtu|h56 live_|h35 |h6|_|h29|_mmk
+|h32|-us12 sk.eyJ|h60|.|h22 M|h24|.|h6|.|h30 CCIPAT_|h22|_|h40 AVNS_|h19 rzp_live_|h14 sk_sbox_|h26 tr_prod_|h24 apify_api_|h36 kaggle_|h32
+sdk-|h8|-|h4|-|h4|-|h4|-|h12 secret_|h43 xsmtpsib-|h64|-|h16
+""".split()
+
+
+def _of_format(spec: str) -> str:
+    """SQL for a token: text as it is, and h or u with a length for digits."""
+    digits = "repeat(md5(c_name), 5)"
+    parts = [f"substr({'upper(' + digits + ')' if p[0] == 'u' else digits}, {k + 1}, {p[1:]})" if re.fullmatch("[hu][0-9]+", p) else
+             f"'{p[:2]}' || '{p[2:]}'" for k, p in enumerate(spec.split("|")) if p]
+    return " || ".join(parts)
+
+
+_token = "case c_custkey % " + str(len(_FORMATS)) + " " + " ".join(f"when {k} then {_of_format(f)}" for k, f in enumerate(_FORMATS)) + " end"
+_on_table("provider_formats", "customer", "c_custkey", f"'use ' || {_token} || ' now'", [("SECRET", "'use '", _token)], "gitleaks")
 _p1, _p2 = "'gl' || 'pat-' || substr(md5(c_name), 1, 10)", "substr(md5('s' || c_name), 1, 14)"
 _on_table("find_split_strings", "customer", "c_custkey", f"'f(' || chr(34) || {_p1} || chr(34) || ' + ' || chr(34) || {_p2} || chr(34) || ')'",
           [("SECRET", "'f(.'", _p1), ("SECRET", f"'f(.' || {_p1} || '. + .'", _p2)], "split-strings")
