@@ -67,11 +67,13 @@ def normal_forms(word: str) -> tuple[str, str]:
     while b > a and not low[b - 1].isalnum():
         b -= 1
     inner = low[a:b]
-    if inner.isalpha():
+    if a and low[a - 1] in "$@€":  # a letter more likely than punctuation
+        a -= 1
+    elif inner.isalpha():
         return inner, STRETCHED.sub(r"\1", inner) if STRETCHED.search(inner) else inner
     if not any(c.isalpha() for c in low):
         return inner, inner
-    read = "".join(c for c in low[a:].translate(LOOKALIKES) if c.isalpha())
+    read = "".join(c for c in low[a:b].translate(LOOKALIKES) if c.isalpha())
     return inner, STRETCHED.sub(r"\1", read)
 
 
