@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A lookup side is broadcast up to this many rows; rows are narrow (a few strings).
-BROADCAST_ROWS = 500_000
+# A lookup side is broadcast up to this many rows and bytes of values.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 # Copies of a lookup row when it is too large to broadcast: one hot key is spread over this many tasks.
 SALT = 16
 
@@ -52,15 +52,30 @@ def at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
+def may_be_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Is the table small, by rows and by bytes of its values? Counted by one aggregation, as rows may hold
+    a URL or a map of any length."""
+    if rows <= 0:
+        return False
+    fixed = {"int", "bigint", "double", "float", "boolean", "date", "timestamp", "smallint", "tinyint", "timestamp_ntz"}
+    plain = [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    nested = [F.col(f"`{c}`") for c, t in df.dtypes if t not in fixed and t not in ("string", "binary")]
+    width = reduce(lambda a, b: a + b, plain, F.lit(8 * len(df.columns) + 16))
+    if nested:
+        width = width + F.octet_length(F.to_json(F.struct(*nested)))
+    n, total = df.agg(F.count(F.lit(1)), F.sum(width.cast("bigint"))).first()
+    return n <= rows and (total or 0) <= size
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left",
            limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large side that may hold hot keys with a table that is unique per key.
 
-    A small table is broadcast after its size was checked. A large one is shuffled with a salt:
+    A small table is broadcast after its rows and bytes were counted. A large one is shuffled with a salt:
     the rows of a hot key are spread by ``spread`` (something that differs between them), the
     lookup rows are repeated per salt.
     """
-    if at_most(right, limit):
+    if may_be_broadcast(right, limit):
         return left.join(F.broadcast(right), keys, how)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALT)).cast("int"))
     repeated = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
