@@ -136,13 +136,15 @@ def line_texts(spaced: DataFrame) -> DataFrame:
                                                   lambda t: F.concat(F.repeat(F.lit(" "), t["_gap"]), t["text"])), "").alias("text"))
 
 
-def ocr_boxes(spans: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:
-    """Boxes of spans over recognised lines. Words that are partly covered are covered whole; without
-    word boxes the line box is cut in proportion.
+def ocr_boxes(spans: DataFrame, lines: DataFrame, words: DataFrame, skip_types: tuple = ()) -> DataFrame:
+    """Boxes of spans over recognised lines, but not for spans of ``skip_types``. Words that are partly
+    covered are covered whole; without word boxes the line box is cut in proportion.
 
     spans(image_id, start, end, type) in the lines joined by line breaks; lines(image_id, line, text,
     x, y, w, h, start); words(image_id, line, s, e, x, y, w, h).
     """
+    if skip_types:
+        spans = spans.where(~F.col("type").isin(*skip_types))
     located = lines.withColumn("_end", F.col("start") + F.length("text")).withColumnRenamed("start", "_start")
     hit = overlap_join(spans, located, ["image_id"], ("start", "end"), ("_start", "_end")).withColumn(
         "s0", F.greatest(F.col("start") - F.col("_start"), F.lit(0))).withColumn(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions.regex import empty, let, one_of
+from veilspan.functions.tables import cut
 from veilspan.operators.spans import apply_spans
 
 # Tags that break a line, attributes that only format.
@@ -143,6 +144,7 @@ def process_html(docs: DataFrame, process, html: str = "html", doc_id: str = "do
     changed = done.where(F.size("replacements") > 0).groupBy("_doc").agg(
         F.first(F.when(F.col("_node") < 0, F.col("replacements")), ignorenulls=True).alias("_reps"),
         F.collect_list(F.when(F.col("_node") >= 0, F.struct("_node", "_attr", "output"))).alias("_attrs"))
+    changed = cut(changed)  # one plan for finding, one for writing back
     joined = staged.join(changed.withColumnRenamed("_doc", doc_id), doc_id, "left")
     rebuilt = F.transform("_n", lambda n, i: F.when(n["shown"], _text_node(n)).when(
         n["kind"] == "tag", _tag_node(n["raw"], i)).otherwise(n["raw"]))
