@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -266,7 +267,7 @@ def fold_boxes(boxes: list[tuple], same, join) -> list[tuple]:
 
 
 def _fold(boxes: DataFrame, group: list[str], order: list[str], same, join) -> DataFrame:
-    """Fold the boxes of every island in their order. An island is one task's group, as each box depends on
+    """Fold the boxes of every island in their order. An island stays in one task, as each box depends on
     those before it; time is near linear in its boxes."""
     kinds = dict(boxes.dtypes)
     fields = ("x", "y", "w", "h", "score", "label")
@@ -275,16 +276,34 @@ def _fold(boxes: DataFrame, group: list[str], order: list[str], same, join) -> D
     rows = rows.select(*group, "_isl", *(F.col(c).cast("double").alias(f"_o{k}") for k, c in enumerate(order)),
                        *(F.col(c).cast("double").alias(f"_{c}") for c in fields[:5]), F.col("label").cast("string").alias("_label"))
 
-    def run(table: pa.Table) -> pa.Table:
-        columns = [table.column(c).to_pylist() for c in (*(f"_o{k}" for k in range(len(order))), *(f"_{c}" for c in fields))]
-        listed = sorted(zip(*columns), key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))
-        out = fold_boxes([r[len(order):] for r in listed], same, join)
-        first = table.slice(0, 1)
-        keys = {g: pa.chunked_array([first.column(g).combine_chunks().take(pa.array([0] * len(out), pa.int64()))]) for g in group}
-        return pa.table(keys | {c: pa.array([b[k] for b in out], pa.string() if c == "label" else pa.float64()) for k, c in enumerate(fields)})
+    keys, n = [*group, "_isl"], len(group) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Islands come one behind the other, so a small one costs no more than its rows."""
+        held, rows_, types = None, [], None
+
+        def folded(done: list[tuple]) -> pa.RecordBatch:
+            out = [(key[:-1], box) for key, listed in done for box in fold_boxes(
+                [r[len(order):] for r in sorted(listed, key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))], same, join)]
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([k[i] for k, _ in out], types[i]) for i in range(n - 1)),
+                 *(pa.array([box[i] for _, box in out], pa.string() if c == "label" else pa.float64()) for i, c in enumerate(fields))], [*group, *fields])
+
+        for batch in batches:
+            types, done = [c.type for c in batch.columns], []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:n] != held:
+                    if rows_:
+                        done.append((held, rows_))
+                    held, rows_ = row[:n], []
+                rows_.append(row[n:])
+            if done:
+                yield folded(done)
+        if rows_:
+            yield folded([(held, rows_)])
 
     schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), "x double, y double, w double, h double, score double, label string"])
-    return rows.groupBy(*group, "_isl").applyInArrow(run, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def merge_boxes(boxes: DataFrame, group=("image_id", "kind", "effect")) -> DataFrame:
