@@ -101,3 +101,13 @@ def test_clashing_columns_do_not_matter(spark):
     text = "x " * 30 + "y"
     docs = spark.createDataFrame([(1, text, 5, "r")], "doc_id int, text string, n_words int, runs string")
     assert [(r.doc_id, r.n_words, [tuple(x) for x in r.runs], r.collapsed) for r in periodic_runs(docs).collect()] == [(1, 31, [(0, 30, 1)], "x y")]
+
+
+def test_planted_tails_of_short_texts(spark, tmp_path):
+    """Documents whose checksum plants a tail, with no word, few words, blanks only, and no text."""
+    chosen = [i for i in range(-200, 2000) if zlib.crc32(str(i).encode()) % 10 == 0][:60]
+    texts = [None, "", " ", "\t\n", "a", "a b", " a\x0bb  c ", "é ü", "x " * 40, "y z " * 300]
+    rows = [(i, texts[k % len(texts)]) for k, i in enumerate(chosen)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r[0]: tuple(r)[1:] for r in QUERIES["op12_recompression_runs"][0](spark, str(tmp_path)).collect()}
+    assert got == {i: brute_row(i, t) for i, t in rows}
