@@ -72,19 +72,19 @@ def failing_detectors(spark, sf):
 
 
 # ---------------------------------------------------------------- own surrogates
-_TICKET = "'ticket TCK-' || cast(o_orderkey as string) || ' of ' || o_orderdate"
+_TICKET = "'ticket TCK-' || cast(c_custkey as string) || ' of ' || c_name"
 
 
 def _reference(original, key, attempt):
-    """REF and four digits: far fewer values than originals may need, so that numbers run out."""
-    return F.concat(F.lit("REF-"), F.substring(tx.keyed_hash(key, F.lit("ticket"), original, F.lit(attempt)), 1, 4))
+    """REF and three digits: fewer values than originals may need, so that numbers run out."""
+    return F.concat(F.lit("REF-"), F.substring(tx.keyed_hash(key, F.lit("ticket"), original, F.lit(attempt)), 1, 3))
 
 
-@query("own_surrogates", f"select o_orderkey as doc_id, {_TICKET.replace('string', 'varchar')} as text, true as shaped, cast(1 as bigint) as holders from orders")
+@query("own_surrogates", f"select cast(c_custkey as bigint) as doc_id, {_TICKET.replace('string', 'varchar')} as text, true as shaped, cast(1 as bigint) as holders from customer")
 def own_surrogates(spark, sf):
     """An own type with an own generator: its shape is kept, no surrogate is given twice, texts come back."""
     registry.register(python_detector("tickets", ("TICKET",), 90, _tickets))
-    docs = derived(spark, sf, "orders", "o_orderkey", _TICKET)
+    docs = derived(spark, sf, "customer", "c_custkey", _TICKET)
     try:
         out, state = modes.pseudonymize(docs, State.empty(spark), PROJECT, KEY, Context(generators={"TICKET": _reference}), detectors=("tickets",))
     finally:
@@ -92,7 +92,7 @@ def own_surrogates(spark, sf):
     back = modes.revert(out.select("doc_id", F.col("output").alias("text")), state, PROJECT, KEY).select("doc_id", F.col("output").alias("text"))
     holders = state.mappings.groupBy("surrogate").agg(F.count(F.lit(1)).alias("holders"))
     own = out.select("doc_id", F.get("replacements", F.lit(0))["replacement"].alias("surrogate"))
-    shaped = F.regexp_like("surrogate", F.lit("^REF-[0-9a-f]{4}(-[0-9a-f]+)?$"))
+    shaped = F.regexp_like("surrogate", F.lit("^REF-[0-9a-f]{3}(-[0-9a-f]+)?$"))
     return back.join(own, "doc_id").join(holders, "surrogate").select("doc_id", "text", shaped.alias("shaped"), "holders")
 
 
