@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from veilspan import sql
 from veilspan.functions import text as tx
+from veilspan.functions.tables import cut
 from veilspan.lists import Context
 from veilspan.operators import detectors as registry
 from veilspan.operators import modes
@@ -89,6 +90,7 @@ def own_surrogates(spark, sf):
         out, state = modes.pseudonymize(docs, State.empty(spark), PROJECT, KEY, Context(generators={"TICKET": _reference}), detectors=("tickets",))
     finally:
         registry.unregister("tickets")
+    out = cut(out.select("doc_id", "output", "replacements"))
     back = modes.revert(out.select("doc_id", F.col("output").alias("text")), state, PROJECT, KEY).select("doc_id", F.col("output").alias("text"))
     holders = state.mappings.groupBy("surrogate").agg(F.count(F.lit(1)).alias("holders"))
     own = out.select("doc_id", F.get("replacements", F.lit(0))["replacement"].alias("surrogate"))
