@@ -23,6 +23,7 @@ _TAG = r"<!--(?s:.*?)-->|<!\[CDATA\[(?s:.*?)\]\]>|<![^>]*>|<\?(?s:.*?)\?>|</?[A-
 _HIDDEN = r"(?is)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<script\b[^>]*>.*?</script\s*>"
 _STYLE = r"(?is)<style\b[^>]*>.*?</style\s*>"
 _ATTRIBUTE = r"\s[A-Za-z_:][\w:.\-]*\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+)"
+_REFERENCE = "&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z]{2,8};"
 NODE = "struct<kind:string,raw:string,name:string>"
 # Named character references of HTML that stand for one character.
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·",
@@ -44,9 +45,8 @@ def drop_hidden(html: Column) -> Column:
 def unescape(text: Column) -> Column:
     """Named and numeric character references; unknown ones stay."""
     def whole(t: Column) -> Column:
-        pattern = "&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[A-Za-z]{2,8};"
-        gaps = F.split(t, pattern, -1)
-        marks = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+        gaps = F.split(t, _REFERENCE, -1)
+        marks = F.regexp_extract_all(t, F.lit(_REFERENCE), F.lit(0))
 
         def char(m: Column) -> Column:
             named = F.lit(None).cast("string")
@@ -151,16 +151,41 @@ def process_html(docs: DataFrame, process, html: str = "html", doc_id: str = "do
     return joined.withColumn("output", F.array_join(rebuilt, "")).drop("_n", "_reps", "_attrs")
 
 
+def _references(raw: Column) -> Column:
+    """ARRAY<STRUCT<at, extra>>: place of each character reference in the unescaped text, and by how much it is longer."""
+    marks = F.regexp_extract_all(raw, F.lit(_REFERENCE), F.lit(0))
+    pairs = F.zip_with(marks, F.split(raw, _REFERENCE, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+
+    def step(acc: Column, p: Column) -> Column:
+        def add(size: Column) -> Column:
+            at = acc["pos"] + F.length(p["g"])
+            item = F.struct(at.cast("int").alias("at"), (F.length(p["m"]) - size).cast("int").alias("extra"))
+            return F.struct((at + size).cast("int").alias("pos"), F.array_append(acc["out"], item).alias("out"))
+
+        return let(F.length(unescape(p["m"])), add)
+
+    zero = F.struct(F.lit(0).alias("pos"), empty("array<struct<at:int,extra:int>>").alias("out"))
+    return F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), zero, step, lambda acc: acc["out"])
+
+
 def _text_node(node: Column) -> Column:
-    """A text node with its share of the replacements: the first node of an entity gets the text."""
+    """A text node with its share of the replacements: the first node of an entity gets the text. What is
+    not replaced stays as it is written, character references too."""
     end = node["start"] + F.length(node["text"])
     mine = F.filter(F.col("_reps"), lambda r: (r["in_start"] < end) & (node["start"] < r["in_end"]))
-    edits = F.transform(mine, lambda r: F.struct(
-        (F.greatest(r["in_start"], node["start"]) - node["start"]).cast("int").alias("start"),
-        (F.least(r["in_end"], end) - node["start"]).cast("int").alias("end"), r["type"].alias("type"),
-        F.lit("\0").alias("text"), r["detector"].alias("detector"),
-        F.when(r["in_start"] >= node["start"], r["replacement"]).otherwise("").alias("replacement")))
-    return F.coalesce(F.when(F.size(mine) > 0, escape(apply_spans(node["text"], edits)["output"])), node["raw"])
+
+    def written(refs: Column) -> Column:
+        def place(p: Column) -> Column:
+            return (p + F.aggregate(F.filter(refs, lambda r: r["at"] < p), F.lit(0), lambda a, r: a + r["extra"])).cast("int")
+
+        edits = F.transform(mine, lambda r: F.struct(
+            place(F.greatest(r["in_start"], node["start"]) - node["start"]).alias("start"),
+            place(F.least(r["in_end"], end) - node["start"]).alias("end"), r["type"].alias("type"),
+            F.lit("\0").alias("text"), r["detector"].alias("detector"),
+            F.when(r["in_start"] >= node["start"], escape(r["replacement"])).otherwise("").alias("replacement")))
+        return apply_spans(node["raw"], edits)["output"]
+
+    return F.coalesce(F.when(F.size(mine) > 0, let(_references(node["raw"]), written)), node["raw"])
 
 
 def _tag_node(raw: Column, index: Column) -> Column:
