@@ -123,8 +123,10 @@ def word_lines(words: DataFrame) -> DataFrame:
     by_line = Window.partitionBy("image_id", "line")
     used = words.where(F.length("text") > 0)
     share = F.col("w") / F.greatest(F.length("text"), F.lit(1))
-    ordered = F.array_sort(F.collect_list(share).over(by_line))
-    sized = used.withColumn("_cw", F.element_at(ordered, (F.floor(F.size(ordered) / 2) + 1).cast("int")))
+    # the median by its rank: an array per word of all words of its line would grow with the square of a line
+    ranked = used.withColumn("_cw", share).withColumn("_k", F.row_number().over(by_line.orderBy(F.asc_nulls_last("_cw")))).withColumn(
+        "_n", F.count("_cw").over(by_line))
+    sized = ranked.withColumn("_cw", F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, F.col("_cw"))).over(by_line)).drop("_k", "_n")
     gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(by_line.orderBy("x"))
     blanks = F.when(gap > 0.45 * F.col("_cw"), F.greatest(F.lit(1), F.least(F.lit(4), F.bround(gap / F.col("_cw")).cast("int")))).otherwise(0)
     spaced = sized.withColumn("_gap", F.coalesce(blanks, F.lit(0)))
