@@ -27,7 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of copies and near copies stays, that of the smallest id: sets of
-    five-word shingles with a Jaccard similarity of 0.8 or more."""
+    five-word shingles with a Jaccard similarity of 0.8 or more. Candidates come from vantage-point trees
+    over SimHashes (as in op5) and from MinHash bands, for what the trees cannot reach."""
     return shingle_dedup(docs, words=5, similar=0.8)
 
 

@@ -1,12 +1,14 @@
-"""Near-dedup of documents by the Jaccard similarity of their word shingles: MinHash bands, exact check.
+"""Near-dedup of documents by the Jaccard similarity of their word shingles: vantage-point trees over
+SimHashes and MinHash bands, exact check.
 
 Shingles are ``words`` consecutive words (lower case for A-Z, cut at ASCII white space) as 64-bit
 codes; a shorter text is one shingle. Two documents are linked if their sets of shingles have a
 similarity of ``similar`` or more; a group is a connected component.
 
-SimHashes of two documents of similarity 0.8 differ in about 10 of 64 bits, too far for any tree over
-fingerprints that are almost random. So candidates are found by MinHash: 40 bands of five minima, of
-which one is equal with a chance of 1 - (1 - s^5)^40. At s = 0.8 one pair in eight million is not
+Candidates come from two searches. The SimHashes of the sets go through the trees of ``near_dedup``,
+which find every pair up to two bits apart. SimHashes of two documents of similarity 0.8 differ in about
+10 of 64 bits, too far for any tree over fingerprints that are almost random. So MinHash finds the
+others: 40 bands of five minima, of which one is equal with a chance of 1 - (1 - s^5)^40. At s = 0.8 one pair in eight million is not
 found, above it fewer. Documents of a shared band are hung under one of them, not paired. The
 candidates that hang together are compared by their whole sets, so every link is exact; a crowded
 cluster is cut into tiles, every pair of tiles being a task's group.
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import sheltered, stored, text_slices
 from veilspan.llm.graph import components
-from veilspan.llm.near_dedup import one_of_each
+from veilspan.llm.near_dedup import fingerprint_links, one_of_each
 
 BANDS, MINIMA = 40, 5
+#: Bits up to which the trees find SimHashes that differ.
+BITS = 2
 #: Shingles of the documents in a tile.
 TILE = 1 << 18
 CACHED, BLOCK = 1_000_000, 4096
@@ -74,6 +78,15 @@ def set_print(held: np.ndarray) -> int:
     return int(_mixed(_mixed(held).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(held))).view(np.int64)[0]) if len(held) else 0
 
 
+def set_simhash(held: np.ndarray) -> int:
+    """64 bits: each is set if it is set in over half of the shingles."""
+    counts = np.zeros(64, np.int64)
+    for first in range(0, len(held), 1 << 16):
+        part = np.ascontiguousarray(held[first:first + (1 << 16)])
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int32)
+    return int(np.packbits(counts * 2 > len(held), bitorder="little").view(np.int64)[0])
+
+
 def bands(held: np.ndarray) -> np.ndarray:
     least = np.full(BANDS * MINIMA, ~np.uint64(0))
     for first in range(0, len(held), BLOCK):
@@ -92,9 +105,9 @@ def _signed(words: int):
                 keys = np.concatenate([bands(s) if len(s) else np.zeros(BANDS, np.int64) for s in sets])
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id")[row:row + len(texts)], pa.array([set_print(s) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array([set_simhash(s) for s in sets], pa.int64()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), pa.array(keys))],
-                    ["doc_id", "fp", "n", "bands"])
+                    ["doc_id", "fp", "n", "sim", "bands"])
 
     return run
 
@@ -159,12 +172,29 @@ def _verify(similar: float):
     return run
 
 
-def shingle_links(docs: DataFrame, signed: DataFrame, words: int, similar: float) -> DataFrame:
-    """Links (a, b) between the hashes of sets that connect all sets that are alike."""
-    kinds = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "shingle-kinds")
+def tree_links(kinds: DataFrame, bits: int = BITS) -> DataFrame:
+    """Links (a, b) that connect sets (fp, n, sim) whose SimHashes differ in at most ``bits`` bits: by the trees
+    over the distinct ones, each standing for its smallest fp."""
+    prints = stored(kinds.where("n > 0").groupBy("sim").agg(F.min("fp").alias("m")), "shingle-prints")
+    found = fingerprint_links(prints.select(F.col("sim").alias("fp")), bits)
+    one, two = (prints.select(F.col("sim").alias(k), F.col("m").alias(f"m{k}")) for k in "ab")
+    apart = found.join(one, "a").join(two, "b").select(F.col("ma").alias("a"), F.col("mb").alias("b"))
+    same = kinds.where("n > 0").join(prints, "sim").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    return apart.unionByName(same)
+
+
+def band_links(kinds: DataFrame) -> DataFrame:
+    """Links (a, b) that connect sets (fp, n, bands) that share a band."""
     keys = kinds.where("n > 0").select("fp", F.explode("bands").alias("key"))
     least = stored(keys.groupBy("key").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m < x").select("key", "m"), "shared-bands")
-    near = keys.join(least, "key").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+    return keys.join(least, "key").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b"))
+
+
+def shingle_links(docs: DataFrame, signed: DataFrame, words: int, similar: float) -> DataFrame:
+    """Links (a, b) between the hashes of sets that connect all sets that are alike."""
+    kinds = stored(signed.groupBy("fp").agg(
+        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sim").alias("sim"), F.first("bands").alias("bands")), "shingle-kinds")
+    near = tree_links(kinds).unionByName(band_links(kinds))
     hung = components(near).select(F.col("node").alias("fp"), F.col("root").alias("cluster"))
     clusters = hung.unionByName(hung.select(F.col("cluster").alias("fp"), "cluster").distinct())  # a root is no node
     members = stored(kinds.select("fp", "first_id", "n").join(clusters, "fp"), "shingle-members")
@@ -181,7 +211,7 @@ def shingle_links(docs: DataFrame, signed: DataFrame, words: int, similar: float
 
 def shingle_groups(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
     """Per row of docs: doc_id, fp (a hash of its set of shingles), root (the smallest fp of its group)."""
-    signed = stored(docs.select("doc_id", "text").mapInArrow(_signed(words), f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint, n bigint, bands array<bigint>"), "shingle-bands")
+    signed = stored(docs.select("doc_id", "text").mapInArrow(_signed(words), f"doc_id {dict(docs.dtypes)['doc_id']}, fp bigint, n bigint, sim bigint, bands array<bigint>"), "shingle-bands")
     roots = components(shingle_links(docs, signed, words, similar)).select(F.col("node").alias("fp"), "root")
     return signed.select("doc_id", "fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
