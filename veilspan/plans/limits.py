@@ -13,7 +13,7 @@ from veilspan.operators import boxes as bx
 from veilspan.operators import report
 from veilspan.operators.detect import find_spans
 from veilspan.operators.modes import redact
-from veilspan.functions.tables import shared_folder
+from veilspan.functions.tables import cut, deal_rows, shared_folder, spread
 from veilspan.job import run as run_job
 from veilspan.operators.detect import explode_spans
 from veilspan.operators.spans import apply_spans, collect_spans
@@ -41,8 +41,8 @@ select cast(l_orderkey // 8000 as bigint) as part, count(*) as n, md5(string_agg
 def dense_text(spark, sf):
     """Texts with some ten thousand addresses: the work per address does not grow with the text."""
     address = F.concat(F.lit("host 10."), (F.col("l_partkey") % 250).cast("string"), F.lit("."), (F.col("l_suppkey") % 250).cast("string"), F.lit(".7 up"))
-    texts = table(spark, sf, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 8000).alias("part")).agg(
-        F.array_join(F.collect_list(address), " ").alias("text"))
+    rows = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 8000).alias("part"), address.alias("a"))
+    texts = spread(rows, "part").groupBy("part").agg(F.array_join(F.collect_list("a"), " ").alias("text"))
     return redact(texts, "<{type}>", detectors=("ipv4",)).select("part", F.size("replacements").cast("bigint").alias("n"), F.md5("output").alias("output"))
 
 
@@ -78,7 +78,8 @@ def infra_vocabulary(spark, sf):
     words = sorted(w for group in (lists.HOST_ROLES, lists.HOST_SERVICES, lists.WORKLOADS, lists.COMPONENTS, lists.OPERATIONS, lists.PRODUCTS)
                    for w in group if w.isalpha())
     pick = lambda c: F.element_at(F.split(F.lit(",".join(words)), ","), F.pmod(F.xxhash64(*c), F.lit(len(words))).cast("int") + 1)
-    docs = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_partkey").alias("p")).select(
+    orders = cut(table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.max("l_partkey").alias("p")))
+    docs = deal_rows(orders).select(
         "doc_id", F.concat(F.lit("name: "), pick(["doc_id"]), F.lit("-"), pick(["p"]), F.lit("-"), pick(["doc_id", "p"])).alias("text"))
     return find_spans(docs, detectors=("infra-names",)).select("doc_id", F.size("spans").cast("bigint").alias("n"))
 
