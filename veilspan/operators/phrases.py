@@ -2,8 +2,8 @@
 
 Two ways with one result. A dictionary of up to ``AUTOMATON_BYTES`` is broadcast and becomes an automaton
 over words (Aho and Corasick), built once per Python worker; a text is read once, however many terms there
-are, and nothing is shuffled. A larger one meets the words of the texts by the rarest word of each term,
-counted over these texts, in a salted join: a term that begins with a frequent word does not call up
+are, and nothing is shuffled. A larger one meets the texts by the rarest run of up to three words of each
+term, counted over these texts, in a salted join: a term that begins with a frequent word does not call up
 every text with that word. What is found travels back to its text and is verified there.
 """
 
@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.tables import BROADCAST_ROWS, lookup
+from veilspan.functions.tables import BROADCAST_ROWS, cut, lookup
 from veilspan.functions.text import WORD_CHAR
-from veilspan.operators.words import OCCURRENCE, TERM, _verified, explode_words, words
+from veilspan.operators.words import OCCURRENCE, TERM, _verified, explode_runs, keyed_by_rarest, run_bits, run_places
 
 #: Bytes of terms up to which a dictionary becomes an automaton; it takes some 50 times that in a worker.
 AUTOMATON_BYTES = 4 << 20
@@ -126,17 +126,6 @@ def _kept(spans: Column) -> Column:
     return F.arrow_udf(places, "array<int>")(spans)
 
 
-def by_rarest_word(docs: DataFrame, terms: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(first, entry): terms keyed by the word that is rarest in the texts, and its place in the term."""
-    places = terms.select("term", "ci", "payload", F.inline(words(F.col("term")))).withColumn("first", F.lower("word")).drop("word")
-    tokens = explode_words(docs, doc_id, text).select(F.lower("word").alias("first"), "start")
-    counts = lookup(tokens, places.select("first").distinct(), ["first"], F.col("start"), "inner").groupBy("first").agg(F.count(F.lit(1)).alias("n"))
-    ranked = lookup(places, counts, ["first"], F.col("term")).groupBy("term", "ci").agg(
-        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("start"), F.col("first"))).alias("k"), F.any_value("payload").alias("payload"))
-    entry = F.struct("term", F.col("k.start").alias("lead"), F.length("term").alias("n"), "ci", "payload")
-    return ranked.select(F.col("k.first").alias("first"), entry.cast(TERM).alias("entry"))
-
-
 def with_phrases(docs: DataFrame, terms: DataFrame, out: str = "occurrences", doc_id: str = "doc_id", text: str = "text",
                  longest: bool = True, automaton_bytes: int = AUTOMATON_BYTES, broadcast_limit: int = BROADCAST_ROWS) -> DataFrame:
     """``docs`` plus the occurrences of ``terms(term[, ci][, payload])``, in order of their place; without
@@ -149,8 +138,13 @@ def with_phrases(docs: DataFrame, terms: DataFrame, out: str = "occurrences", do
     terms = terms.where(F.regexp_like("term", F.lit(f"[{WORD_CHAR}]"))).groupBy("term", "ci").agg(F.any_value("payload").alias("payload"))
     if (terms.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0) <= automaton_bytes:
         return _by_automaton(docs, text, [(r["term"], r["ci"], r["payload"]) for r in terms.orderBy("term", "ci").collect()], out, longest)
-    tokens = explode_words(docs, doc_id, text).select(doc_id, "start", F.lower("word").alias("first"))
-    candidates = lookup(tokens, by_rarest_word(docs, terms, doc_id, text), ["first"], F.struct(doc_id, "start"), "inner", broadcast_limit)
+    places = cut(run_places(terms))
+    sizes = sorted(r["size"] for r in places.select("size").distinct().collect())  # at most RUN rows
+    # one reading of the texts: what may be a run of a term, for counting and for the join
+    tokens = cut(explode_runs(docs, sizes, doc_id, text, bits=run_bits(places.select("first"))))
+    counts = tokens.groupBy("first").agg(F.count(F.lit(1)).alias("n"))
+    keyed = keyed_by_rarest(terms, places, counts).drop("size")
+    candidates = lookup(tokens, keyed, ["first"], F.struct(doc_id, "start"), "inner", broadcast_limit)
     per_doc = candidates.groupBy(doc_id).agg(F.collect_list(F.struct("start", "entry")).alias("_cands"))
     none = F.array().cast(f"array<struct<start:int,entry:{TERM}>>")
     found = docs.join(per_doc, doc_id, "left").withColumn("_found", _verified(F.col(text), F.coalesce("_cands", none)))
