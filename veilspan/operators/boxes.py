@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspan.functions.regex import empty, let
+from veilspan.functions.tables import cut
 
 
 
@@ -193,6 +194,24 @@ def _islands(boxes: DataFrame, group: list[str], band: int = 64) -> DataFrame:
     return boxes.withColumn("_band", first).join(named, same).drop("_band", "_b", *(f"_g{k}" for k in range(len(group))))
 
 
+# Groups of fewer boxes are not cut into islands; up to so few boxes a plain search is faster than a grid.
+CROWDED, FEW = 20_000, 16
+
+
+def _parted(boxes: DataFrame, group: list[str]) -> DataFrame:
+    """Add ``_isl``: islands in pictures that may have many boxes, one for all in the others. Boxes are counted
+    per hash of their group, so what is counted stays small before it is shuffled."""
+    bucket = F.pmod(F.xxhash64(*group), F.lit(1 << 20)).alias("_bucket")
+    placed = boxes.where(F.col("y").isNotNull() & F.col("h").isNotNull())
+    crowded = cut(placed.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("_bucket"))
+    if crowded.isEmpty():
+        return placed.withColumn("_isl", F.lit(0).cast("bigint"))
+    marked = placed.withColumn("_bucket", bucket)
+    apart = _islands(marked.join(F.broadcast(crowded), "_bucket", "left_semi").drop("_bucket"), group)
+    whole = marked.join(F.broadcast(crowded), "_bucket", "left_anti").drop("_bucket")
+    return whole.withColumn("_isl", F.lit(0).cast("bigint")).unionByName(apart.withColumn("_isl", F.col("_isl").cast("bigint")))
+
+
 class Grid:
     """Places of boxes (x, y, w, h, ...) by the cells they cover, so a box only meets those around it.
     Boxes over many cells are kept apart and met by all."""
@@ -253,6 +272,14 @@ def fold_boxes(boxes: list[tuple], same, join) -> list[tuple]:
     """Each box (x, y, w, h, score, label) in turn joins the first one so far that is the ``same``, or
     stands for itself."""
     kept: list[tuple] = []
+    if len(boxes) <= FEW:
+        for box in boxes:
+            at = next((k for k, o in enumerate(kept) if same(o, box)), None)
+            if at is None:
+                kept.append(box)
+            else:
+                kept[at] = join(kept[at], box)
+        return kept
     grid = Grid(boxes)
     for box in boxes:
         at = next((k for k in grid.around(box, len(kept)) if same(kept[k], box)), None)
@@ -268,12 +295,20 @@ def fold_boxes(boxes: list[tuple], same, join) -> list[tuple]:
     return kept
 
 
+def _sorted(rows: list[tuple]) -> list[tuple]:
+    """Missing values come last."""
+    try:
+        return sorted(rows)
+    except TypeError:
+        return sorted(rows, key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))
+
+
 def _fold(boxes: DataFrame, group: list[str], order: list[str], same, join) -> DataFrame:
-    """Fold the boxes of every island in their order. An island stays in one task, as each box depends on
-    those before it; time is near linear in its boxes."""
+    """Fold the boxes of every island (or picture of few boxes) in their order. An island stays in one task, as
+    each box depends on those before it; time is near linear in its boxes."""
     kinds = dict(boxes.dtypes)
     fields = ("x", "y", "w", "h", "score", "label")
-    rows = _islands(boxes.withColumn("score", F.col("score") if "score" in kinds else F.lit(0.0)).withColumn(
+    rows = _parted(boxes.withColumn("score", F.col("score") if "score" in kinds else F.lit(0.0)).withColumn(
         "label", F.col("label") if "label" in kinds else F.lit("")), group)
     rows = rows.select(*group, "_isl", *(F.col(c).cast("double").alias(f"_o{k}") for k, c in enumerate(order)),
                        *(F.col(c).cast("double").alias(f"_{c}") for c in fields[:5]), F.col("label").cast("string").alias("_label"))
@@ -285,8 +320,7 @@ def _fold(boxes: DataFrame, group: list[str], order: list[str], same, join) -> D
         held, rows_, types = None, [], None
 
         def folded(done: list[tuple]) -> pa.RecordBatch:
-            out = [(key[:-1], box) for key, listed in done for box in fold_boxes(
-                [r[len(order):] for r in sorted(listed, key=lambda r: tuple((v is None, v if v is not None else 0) for v in r))], same, join)]
+            out = [(key[:-1], box) for key, listed in done for box in fold_boxes([r[len(order):] for r in _sorted(listed)], same, join)]
             return pa.RecordBatch.from_arrays(
                 [*(pa.array([k[i] for k, _ in out], types[i]) for i in range(n - 1)),
                  *(pa.array([box[i] for _, box in out], pa.string() if c == "label" else pa.float64()) for i, c in enumerate(fields))], [*group, *fields])
