@@ -21,7 +21,7 @@ from veilspan.plans.base import FOUND, SPANS_SQL, derived, documents, query, rew
 from veilspan.streaming import watch as st
 
 # A value of 64 to 11,600 characters, and of 102,400 now and then, in nine wrappings.
-_VALUE = "repeat(md5(text), cast(case when doc_id % 200 = 7 then 3200 else 2 + (doc_id % 20) * (doc_id % 20) end as int))"
+_VALUE = "repeat(part, cast(case when doc_id % 200 = 7 then 3200 else 2 + (doc_id % 20) * (doc_id % 20) end as int))"
 _WRAPPED = """case doc_id % 9 when 0 then 'password = ' || {v} when 1 then 'password: "' || {v} || '"' when 2 then 'curl -u admin:' || {v} || ' https://x.example'
  when 3 then 'postgres://app:' || {v} || '@host/db' when 4 then '<password>' || {v} || '</password>' when 5 then 'mysql -u root -p' || {v} || ' db'
  when 6 then 'tool --password=' || {v} when 7 then '-----BEGIN RSA PRIVATE KEY-----' || chr(10) || {v} || chr(10) || '-----END RSA PRIVATE KEY-----'
@@ -31,8 +31,9 @@ _WRAPPED = """case doc_id % 9 when 0 then 'password = ' || {v} when 1 then 'pass
 @query("long_secrets", "select doc_id, false as leaked, true as replaced from documents")
 def long_secrets(spark, sf):
     """Secrets of any length: nothing of the value is left."""
-    out = redact(derived(spark, sf, "documents", "doc_id", _WRAPPED).join(
-        table(spark, sf, "documents").select("doc_id", F.md5("text").alias("part")), "doc_id"), "<{type}>", detectors=("kv-secrets", "pem"))
+    # the parts are dealt out, the texts are made of them where they are looked at
+    parts = deal_rows(table(spark, sf, "documents").select("doc_id", F.md5("text").alias("part")))
+    out = redact(parts.select("doc_id", "part", F.expr(_WRAPPED).alias("text")), "<{type}>", detectors=("kv-secrets", "pem"))
     return out.select("doc_id", F.contains("output", F.substring("part", 1, 8)).alias("leaked"), (F.size("replacements") > 0).alias("replaced"))
 
 
