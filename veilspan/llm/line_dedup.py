@@ -23,10 +23,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,12 +40,14 @@ LEAST, BITS, SIMILAR = 5, 3, 0.8
 #: Different lines of a cluster that one group compares with one another.
 TILE = 256
 CACHED = 1_000_000
-SLICE_BYTES = 1 << 19
+SLICE_BYTES, LINE_BYTES = 1 << 19, 1 << 22
 LINE = "doc_id bigint, tag int, line int, one bigint, two bigint, simhash bigint"
 _KEPT, _DIGITS = re.compile(r"[^\W_]+"), re.compile(r"[0-9]+")
 _ENDS = ".,;:!?\"'()[]*#$%&-|"
 _EDGES = (0, 13, 26, 39, 52, 64)
 MASKS = tuple(sum(((1 << _EDGES[b + 1]) - (1 << _EDGES[b])) for b in pair) for pair in combinations(range(5), 2))
+#: A byte's bits, one in each byte of a number.
+_SPREAD = np.array([sum((b >> j & 1) << 8 * j for j in range(8)) for b in range(256)], np.uint64)
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -76,35 +79,56 @@ def line_rows(lines: list[bytes], least: int) -> tuple[np.ndarray, ...]:
     """(line, hash, second hash, simhash, words) of the lines that have enough words."""
     if len(WORDS) > CACHED:
         WORDS.clear()
-    split = [line.split() for line in lines]
-    counts = np.array([len(s) for s in split])
-    codes = np.fromiter(map(WORDS.__getitem__, chain.from_iterable(split)), np.uint64, int(counts.sum()))
-    owner = np.repeat(np.arange(len(lines)), counts)[codes != 0]
-    codes = codes[codes != 0]
+    split = pc.ascii_split_whitespace(pa.array(lines, pa.string()))  # at the bytes of bytes.split()
+    # each different word of the slice is looked up once; what is done before changes no normal form
+    words = pc.ascii_trim(pc.ascii_lower(split.flatten()), _ENDS).dictionary_encode()
+    known = np.fromiter(map(WORDS.__getitem__, _as_bytes(words.dictionary)), np.uint64, len(words.dictionary))
+    at = words.indices.to_numpy()
+    owner = np.repeat(np.arange(len(lines)), np.diff(split.offsets.to_numpy()))
+    filled = known[at] != 0
+    owner, at = owner[filled], at[filled]
     counts = np.bincount(owner, minlength=len(lines))
     enough = counts[owner] >= least
-    owner, codes = owner[enough], codes[enough]
-    if not len(codes):
+    owner, at = owner[enough], at[enough]
+    if not len(at):
         return tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64))
+    codes = known[at]
     begins = np.flatnonzero(np.concatenate([[True], np.diff(owner) != 0]))
     n = np.diff(np.concatenate([begins, [len(owner)]]))
     place = (np.arange(len(owner)) - np.repeat(begins, n)).astype(np.uint64)
     mixed = [np.add.reduceat((codes ^ (place * f)) * (f + (place << np.uint64(1))), begins) for f in _FACTORS]
     # words count once in a line; else frequent ones would make all long lines of a language alike
-    pair = codes * _FACTORS[0] ^ owner.astype(np.uint64) * _FACTORS[1]
-    once = np.sort(np.unique(pair, return_index=True)[1])  # by line, as owner ascends
-    features, of_line = codes[once], owner[once]
-    starts = np.flatnonzero(np.concatenate([[True], np.diff(of_line) != 0]))
-    bits = np.unpackbits(features.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    simhash = np.packbits(ones * 2 > np.diff(np.concatenate([starts, [len(features)]]))[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+    different, number = np.unique(known, return_inverse=True)
+    shift = len(different).bit_length()
+    pair = np.sort((owner << shift) | number[at])
+    pair = pair[np.concatenate([[True], np.diff(pair) != 0])]
+    simhash = _simhashes(different[pair & ((1 << shift) - 1)], np.flatnonzero(np.concatenate([[True], np.diff(pair >> shift) != 0])))
     return owner[begins], mixed[0] ^ (mixed[0] >> np.uint64(31)), mixed[1] ^ (mixed[1] >> np.uint64(31)), simhash, n
 
 
+def _as_bytes(words: pa.StringArray) -> list[bytes]:
+    """As to_pylist(), but in a tenth of its time."""
+    data, ends = words.buffers()[2].to_pybytes(), np.frombuffer(words.buffers()[1], np.int32)[words.offset:][:len(words) + 1].tolist()
+    return [data[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _simhashes(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bits that more than half the features from each start to the next have. Eight bits are counted in the
+    bytes of one number, in runs of 255 features at most, so no byte overflows."""
+    sizes = np.diff(np.concatenate([starts, [len(features)]]))
+    pieces = -(-sizes // 255)
+    first = np.cumsum(pieces) - pieces
+    cuts = np.repeat(starts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(first, pieces))
+    parts = features.astype("<u8").view(np.uint8).reshape(-1, 8)
+    sums = np.stack([np.add.reduceat(_SPREAD[parts[:, k]], cuts) for k in range(8)], axis=1).astype("<u8").view(np.uint8)
+    ones = np.add.reduceat(sums, first, axis=0, dtype=np.int32)
+    return np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
+
+
 def _lines(least: int, exact: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, texts in text_slices(batch, "text", SLICE_BYTES):
+            for row, texts in text_slices(batch, "text", LINE_BYTES):
                 split = [t.split(b"\n") for t in texts]
                 doc = np.repeat(np.arange(len(texts)), [len(s) for s in split])
                 number = np.concatenate([np.arange(len(s)) for s in split])
@@ -163,7 +187,8 @@ def _masked() -> Column:
 def simhash_clusters(hashes: DataFrame, bits: int = BITS) -> DataFrame:
     """hashes (simhash, distinct) -> (node, root) of those that hang together with another."""
     keys = hashes.select("simhash", F.explode(F.sequence(F.lit(0), F.lit(len(MASKS) - 1))).alias("combo"))
-    keyed = keys.repartition(F.col("combo"), _masked()).sortWithinPartitions(F.col("combo"), _masked())
+    # sorted by the 64 bits first: most comparisons end with them, without a look at the rows
+    keyed = keys.repartition(F.col("combo"), _masked()).sortWithinPartitions(_masked(), F.col("combo"))
     return components(keyed.select("combo", "simhash").mapInArrow(_block_links(bits), "a bigint, b bigint"))
 
 
