@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.functions.regex import empty, let, one_of
+from veilspan.functions.regex import empty, in_blocks, let, one_of
 from veilspan.functions.tables import cut
 from veilspan.operators.spans import apply_spans
 
@@ -87,30 +87,58 @@ def nodes(html: Column) -> Column:
     return F.filter(every, lambda n: n["raw"] != "").cast(f"array<{NODE}>")
 
 
+def _hidden_runs(node_list: Column) -> Column:
+    """ARRAY<STRUCT<s, e>>: what lies between nodes s and e is inside script or style. Only their tags, which
+    are few, are gone through one after the other."""
+    def change(n: Column) -> Column:
+        return F.when(~n["name"].isin("script", "style") | F.endswith(n["raw"], F.lit("/>")) & ~F.startswith(n["raw"], F.lit("</")), 0).when(
+            F.startswith(n["raw"], F.lit("</")), -1).otherwise(1)
+
+    def step(acc: Column, t: Column) -> Column:
+        depth = F.greatest(acc["depth"] + t["c"], F.lit(0)).cast("int")
+        run = F.struct(acc["s"].alias("s"), t["i"].alias("e"))
+        return F.struct(depth.alias("depth"), F.when(acc["depth"] == 0, t["i"]).otherwise(acc["s"]).alias("s"),
+                        F.when((acc["depth"] > 0) & (depth == 0), F.array_append(acc["out"], run)).otherwise(acc["out"]).alias("out"))
+
+    tags = F.filter(F.transform(node_list, lambda n, i: F.struct(i.cast("int").alias("i"), change(n).alias("c"))), lambda t: t["c"] != 0)
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("s"), empty("array<struct<s:int,e:int>>").alias("out"))
+    return F.aggregate(tags, zero, step, lambda a: F.when(a["depth"] > 0, F.array_append(
+        a["out"], F.struct(a["s"].alias("s"), F.size(node_list).alias("e")))).otherwise(a["out"]))
+
+
+def _shown_texts(node_list: Column) -> Column:
+    """The nodes with what they add to the visible text (``text``). Block tags add a line break; text inside
+    script and style adds nothing (``shown`` is false)."""
+    def item(n: Column, i: Column, runs: Column) -> Column:
+        shown = (n["kind"] == "text") & ~F.exists(runs, lambda r: (r["s"] < i) & (i < r["e"]))
+        value = F.when(shown, unescape(n["raw"])).when((n["kind"] == "tag") & one_of(n["name"], BLOCK_TAGS), "\n").otherwise("")
+        return F.struct(n["kind"].alias("kind"), n["raw"].alias("raw"), n["name"].alias("name"), value.alias("text"), shown.alias("shown"))
+
+    return let(node_list, lambda v: let(_hidden_runs(v), lambda runs: F.transform(v, lambda n, i: item(n, i, runs))))
+
+
 def text_stream(node_list: Column) -> Column:
-    """The nodes with what they add to the visible text (``text``) and where (``start``). Block tags add
-    a line break; text inside script and style adds nothing (``shown`` is false)."""
-    def step(acc: Column, n: Column) -> Column:
-        skipping = n["name"].isin("script", "style")
-        change = F.when(~skipping, 0).when(F.startswith(n["raw"], F.lit("</")), -1).when(
-            F.endswith(n["raw"], F.lit("/>")), 0).otherwise(1)
-        depth = F.greatest(acc["depth"] + change, F.lit(0)).cast("int")
-        shown = (n["kind"] == "text") & (acc["depth"] == 0)
-        value = F.when(shown, unescape(n["raw"])).when(
-            (n["kind"] == "tag") & one_of(n["name"], BLOCK_TAGS), "\n").otherwise("")
-        item = let(value, lambda t: F.struct(n["kind"].alias("kind"), n["raw"].alias("raw"), n["name"].alias("name"),
-                                             acc["pos"].alias("start"), t.alias("text"), shown.alias("shown")))
-        return let(item, lambda it: F.struct(
-            depth.alias("depth"), (acc["pos"] + F.length(it["text"])).cast("int").alias("pos"),
-            F.array_append(acc["out"], it).alias("out")))
-
-    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("pos"), empty(
-        "array<struct<kind:string,raw:string,name:string,start:int,text:string,shown:boolean>>").alias("out"))
-    return F.aggregate(node_list, zero, step, lambda a: a["out"])
+    """The nodes with what they add to the visible text (``text``) and where (``start``), see ``_shown_texts``.
+    Places are summed up in blocks, so the work per node does not grow with the page."""
+    kind = "array<struct<kind:string,raw:string,name:string,start:int,text:string,shown:boolean>>"
+
+    def build(v: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            n = v[i]
+            return F.struct((acc["pos"] + F.length(n["text"])).cast("int").alias("pos"), F.array_append(acc["out"], F.struct(
+                n["kind"].alias("kind"), n["raw"].alias("raw"), n["name"].alias("name"), acc["pos"].alias("start"),
+                n["text"].alias("text"), n["shown"].alias("shown"))).alias("out"))
+
+        def of(indices: Column, begin: Column) -> Column:
+            return F.aggregate(indices, F.struct(begin.alias("pos"), empty(kind).alias("out")), step, lambda a: a["out"])
+
+        return F.when(F.size(v) > 0, in_blocks(F.size(v), lambda i: F.length(v[i]["text"]), of)).when(v.isNotNull(), empty(kind))
+
+    return let(_shown_texts(node_list), build)
 
 
 def visible_text(html: Column) -> Column:
-    return F.array_join(F.transform(text_stream(nodes(drop_hidden(html))), lambda n: n["text"]), "")
+    return F.array_join(F.transform(_shown_texts(nodes(drop_hidden(html))), lambda n: n["text"]), "")
 
 
 def attributes(tag: Column) -> Column:
