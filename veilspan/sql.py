@@ -11,6 +11,8 @@ function and nothing runs row by row in Python.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from veilspan.lists import Context
 from veilspan.operators.detect import chosen_spans
 from veilspan.operators.spans import apply_spans
 
+#: Passes of the analyzer, which resolves an expression a level per pass: the functions have more levels than its 100.
+PASSES = 1_000
 SPAN_ROW = "start INT, `end` INT, type STRING, text STRING, detector STRING, priority INT, meta MAP<STRING,STRING>"
 # A string literal, or the name of an operator that is called like a function.
 _OPERATOR = re.compile(r"'(?:[^'\\]|\\.|'')*'|(?<![\w`\]')])(<=>|<=|>=|==|!=|<>|[-+*/%=<>&|^~!]|and|or|not|in)\(", re.S)
@@ -31,6 +35,22 @@ def column_sql(column: Column) -> str:
     return _OPERATOR.sub(lambda m: m.group(0) if m.group(1) is None else f"`{m.group(1)}`(", column._jc.node().sql())
 
 
+@contextmanager
+def _deep(spark: SparkSession) -> Iterator[None]:
+    """Functions created here may be that deep. A function keeps the settings it was created under, so the
+    session's own are put back."""
+    name = "spark.sql.analyzer.maxIterations"
+    before = spark.conf.getAll.get(name)
+    spark.conf.set(name, max(int(spark.conf.get(name)), PASSES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def register_functions(spark: SparkSession, ctx: Context | None = None, detectors=None, skip=(), prefix: str = "") -> list[str]:
     """Create or replace temporary functions of this session; returns their names.
 
@@ -47,7 +67,8 @@ def register_functions(spark: SparkSession, ctx: Context | None = None, detector
         f"{prefix}find_spans": (SPAN_ROW, f"SELECT inline({column_sql(spans)})"),
         f"{prefix}redact_text": (None, column_sql(apply_spans(text, marks)["output"])),
         f"{prefix}clean_url": (None, column_sql(clean_url(text, ctx.tracking_params)))}
-    for name, (row, body) in functions.items():
-        spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
-        spark.sql(f"CREATE TEMPORARY FUNCTION {name}(text STRING) RETURNS {f'TABLE({row})' if row else 'STRING'} RETURN {body}")
+    with _deep(spark):
+        for name, (row, body) in functions.items():
+            spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")
+            spark.sql(f"CREATE TEMPORARY FUNCTION {name}(text STRING) RETURNS {f'TABLE({row})' if row else 'STRING'} RETURN {body}")
     return list(functions)
